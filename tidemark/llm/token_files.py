@@ -25,7 +25,7 @@ MANIFEST = "file_no long, path string, n_docs long, n_ids long"
 
 
 def _list_batch(ids: np.ndarray, mask: np.ndarray, row_length: int) -> pa.RecordBatch:
-    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), row_length) for x in (ids, mask)]
+    lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), row_length) for x in (ids, mask)]  # the mask takes a bit an id
     return pa.RecordBatch.from_arrays(lists, ["ids", "mask"])
 
 
@@ -37,7 +37,7 @@ class _Writer:
         self.held: list[np.ndarray] = []
         self.size = 0
         empty = np.zeros(0, dtype)
-        self.out = pa.ipc.new_file(sink, _list_batch(empty, empty.astype(np.uint8), row_length).schema)
+        self.out = pa.ipc.new_file(sink, _list_batch(empty, empty.astype(bool), row_length).schema)
 
     def add(self, ids: np.ndarray) -> None:
         self.held.append(ids.astype(self.dtype))
@@ -47,7 +47,7 @@ class _Writer:
             whole = len(flat) // self.per_batch * self.per_batch
             for a in range(0, whole, self.per_batch):
                 part = flat[a : a + self.per_batch]
-                self.out.write_batch(_list_batch(part, np.ones(len(part), np.uint8), self.row_length))
+                self.out.write_batch(_list_batch(part, np.ones(len(part), bool), self.row_length))
             self.held, self.size = [flat[whole:]], len(flat) - whole
 
     def close(self) -> None:
@@ -55,7 +55,7 @@ class _Writer:
             flat = np.concatenate(self.held)
             padded = np.zeros(-(-len(flat) // self.row_length) * self.row_length, self.dtype)
             padded[: len(flat)] = flat
-            self.out.write_batch(_list_batch(padded, (np.arange(len(padded)) < len(flat)).astype(np.uint8), self.row_length))
+            self.out.write_batch(_list_batch(padded, np.arange(len(padded)) < len(flat), self.row_length))
         self.out.close()
 
 
@@ -80,7 +80,8 @@ class TokenFile:
         batch, at = divmod(i, self.rows_per_batch)
         got = self.reader.get_batch(batch)
         n = got.schema.field("ids").type.list_size
-        return tuple(got.column(c).values.to_numpy(zero_copy_only=True)[at * n : at * n + n] for c in ("ids", "mask"))
+        ids, mask = (got.column(c).values.slice(at * n, n) for c in ("ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, row_length: int = ROW_LENGTH, rows_per_batch: int = ROWS_PER_BATCH, wide: bool = False) -> DataFrame:

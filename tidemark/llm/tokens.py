@@ -19,9 +19,9 @@ import numpy as np
 from tidemark.llm.spans import Block, distinct, spread
 
 #: Distinct pieces that one Python worker keeps; beyond this the store starts anew.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 400_000
 #: Texts that are joined before pieces are looked for, in bytes.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
