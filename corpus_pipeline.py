@@ -1,26 +1,67 @@
-"""A training corpus from raw documents, stage by stage; every stage's rows are written and read again by the next."""
+"""A training corpus from raw documents, stage by stage; every stage's rows are written and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept. All but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import common, decontamination, line_dedup, packing, simhash, tokens
+from tidemark.llm import toxicity as toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents that score toxic go."""
+    model = toxic.trained(docs, common.table(spark, sf_dir, "labels"))
+    return toxic.score(docs, model).filter(F.col("score") < toxic.THRESHOLD).select(docs.columns)
+
+
+def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: repeated chunks of lines go; a document of which nothing is left goes too. n_chars follows the text."""
+    found = line_dedup.dedup_lines(docs)
+    kept = found.filter((F.col("removed_chunks") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    counted = F.when(F.col("removed_chunks") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", counted).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: of each group of near duplicates the document with the least doc_id stays."""
+    found = simhash.near_duplicates(docs)
+    others = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
 
-from tidemark.llm import common, packing, tokens
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents of which a twentieth or more of the words stand in benchmark passages go."""
+    found = decontamination.contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    bad = found.filter(decontamination.is_contaminated()).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing (operator 3): every kept document lies in windows of at most 2048 ids; one row a piece, its ids in it."""
+    """Operator 3: every kept document lies in windows of at most 2048 ids; one row a piece, its ids in it."""
     return packing.pack(docs, tokens.public_path("word_bpe_49k.json"), end_id=1)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_chunks),
+    ("simhash", near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
-#: Token ids, fingerprints and compressed lengths are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Compressed lengths, rolling hashes and token ids are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")

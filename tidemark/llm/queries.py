@@ -6,16 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.avi import op6_avi_media
 from tidemark.llm.decontamination import op2_decontamination
+from tidemark.llm.line_dedup import op8_line_dedup
 from tidemark.llm.packing import op3_packing
+from tidemark.llm.pseudonyms import op10_pseudonyms
+from tidemark.llm.sharding import op9_sharding
 from tidemark.llm.simhash import op7_simhash
 from tidemark.llm.token_files import op5_token_files
+from tidemark.llm.toxicity import op1_toxicity
+from tidemark.llm.warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op4_warc": op4_warc,
     "op5_token_files": op5_token_files,
+    "op6_avi_media": op6_avi_media,
     "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_sharding": op9_sharding,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
+#: Dictionaries, indexes, files and permutations are beyond SQL; tests/llm holds them against brute-force versions.
 ORACLES: dict[str, str] = {}
