@@ -30,6 +30,8 @@ from tidemark.llm.spans import binary_list
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
+#: Compressed bytes that a reader takes at a time; what lies behind a record's end is taken again.
+WINDOW_BYTES = 4 << 10
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 FILES = "path string, records long"
@@ -68,12 +70,16 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(named fields in lower case, block) of every record of a gzip-per-record file."""
-    while data:
-        reader = zlib.decompressobj(31)
-        record = reader.decompress(data)
-        if not reader.eof:
-            raise ValueError("a record is cut short")
-        data = reader.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        reader, parts = zlib.decompressobj(31), []
+        while not reader.eof:
+            fed = view[at : at + WINDOW_BYTES]
+            if not len(fed):
+                raise ValueError("a record is cut short")
+            parts.append(reader.decompress(fed))
+            at += len(fed) - len(reader.unused_data)
+        record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
