@@ -144,7 +144,8 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FIL
     found = _keyed(docs).select("__id", "__th", "text").mapInArrow(run, "__id long, __th long, number int, long boolean, h long, chunk binary")
     found = common.stored(found, "line-candidates")
     place = F.struct(F.coalesce("__id", F.lit(-(2**63))).alias("a"), F.col("__th").alias("b"), F.col("number").alias("c"))
-    first = found.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    # stored, so that both sides of the join below are plain exchanges, which Spark splits at a frequent chunk
+    first = common.stored(found.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "line-first")
     again = found.join(first, ["h", "chunk"]).filter(place != F.col("first"))
     return again.groupBy("__id", "__th").agg(F.collect_set(F.when(F.col("long"), F.col("number")).otherwise(-1 - F.col("number"))).alias("remove"))
 
