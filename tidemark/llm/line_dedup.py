@@ -29,7 +29,7 @@ from tidemark.llm.spans import Block, binary_list, blocks
 MIN_WORDS = 10
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 3
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
