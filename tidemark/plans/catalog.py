@@ -1,4 +1,4 @@
-"""All queries of the time-series library by name, with the SQL they are held against."""
+"""All queries of the time-series library by name, and the SQL that says what they return."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidemark.operators import features
+from tidemark.plans import ledgers, series
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**series.QUERIES, **ledgers.QUERIES}
+ORACLES: dict[str, str] = {**series.ORACLES, **ledgers.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Sixteen features and the bracket label of every six-hour bar that has enough bars around it."""
+    return features.observations(series.hourly(spark, sf_dir, 6 * 3600))
