@@ -1,4 +1,12 @@
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+
+@pytest.fixture(scope="session")
+def large(small):
+    """The tables with enough labels of every language to learn from."""
+    return str(Path(small).parent / "sf0.1")

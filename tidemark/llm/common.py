@@ -43,6 +43,14 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores before it as long as a column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(text: str = "text") -> Column:
     """UTF-8 bytes of a text column; null counts as the empty text."""
     return F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")

@@ -179,16 +179,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_
     extra = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
     base = docs.drop(*extra)
     gone = repeated_chunks(docs, min_words, bits)
-    left, right = _keyed(base).alias("d"), gone.alias("g")
-    joined = left.join(right, F.col("d.__id").eqNullSafe(F.col("g.__id")) & (F.col("d.__th") == F.col("g.__th")), "left").select(*[F.col(f"d.`{c}`") for c in base.columns], "g.remove")
-    names = base.columns
+    names, marks = base.columns, common.unused(base.columns, "remove")
+    left, right = base.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th")), gone
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    joined = left.join(right, same, "left").select("row.*", F.col("remove").alias(marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, c in _batches(batches):
             removed = np.zeros(len(c.owner), bool)
             first = np.searchsorted(c.owner, np.arange(batch.num_rows + 1))
             texts = batch.column("text").to_pylist()
-            for i, numbers in enumerate(batch.column("remove").to_pylist()):
+            for i, numbers in enumerate(batch.column(marks).to_pylist()):
                 if numbers:
                     _mark(removed[first[i] : first[i + 1]], numbers)
                     if removed[first[i] : first[i + 1]].any():

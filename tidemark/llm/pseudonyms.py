@@ -169,15 +169,16 @@ def _replaced(docs: DataFrame, key: str, undo: bool) -> DataFrame:
             out = F.when(kind == name, rule(m, key, undo)).otherwise(out)
         return F.struct(F.when(out.isNotNull(), kind).alias("kind"), F.coalesce(out, m).alias("text"))
 
+    m, n = (common.unused(docs.columns, x) for x in ("matches", "replaced"))
     quoted = [F.col(f"`{c}`") for c in kept]
-    found = docs.select(*quoted, F.col("text").cast("string").alias("text"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("__m"))
-    done = found.withColumn("__n", F.when(F.size("__m") > 0, F.transform("__m", new)))
-    parts = F.zip_with(F.split("text", PATTERN, -1), F.transform("__n", lambda x: x["text"]), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    text = F.when(F.size("__m") > 0, F.array_join(parts, "")).otherwise(F.col("text")).alias("text")
+    found = docs.select(*quoted, F.col("text").cast("string").alias("text"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias(m))
+    done = found.withColumn(n, F.when(F.size(m) > 0, F.transform(m, new)))
+    parts = F.zip_with(F.split("text", PATTERN, -1), F.transform(n, lambda x: x["text"]), lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
+    text = F.when(F.size(m) > 0, F.array_join(parts, "")).otherwise(F.col("text")).alias("text")
 
     def count(kind: str) -> Column:
-        of_kind = F.filter("__n", lambda x: x["kind"] == kind)
-        return F.when(F.col("__n").isNull(), 0).otherwise(F.size(of_kind)).cast("long").alias(f"n_{kind}")
+        of_kind = F.filter(n, lambda x: x["kind"] == kind)
+        return F.when(F.col(n).isNull(), 0).otherwise(F.size(of_kind)).cast("long").alias(f"n_{kind}")
 
     return done.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in extra], *[count(kind) for kind in KINDS])
 
