@@ -25,7 +25,7 @@ def entries(fills: DataFrame, stop: str = STOP, take: str = TAKE) -> DataFrame:
 
     Adds status ('long', 'entry_unfilled' or 'invalid'), reason, owned, cost, stop_price and take_price.
     """
-    fee, unit = V.price(F.coalesce("fee", F.lit(0))), _unit("fee_unit")
+    fee, unit = F.coalesce(V.price("fee"), V.literal_price("0")), _unit("fee_unit")
     filled, average = V.price("filled"), V.price("average")
     owned = V.price(filled + F.when(unit == BASE_UNIT, fee).otherwise(F.lit(0).cast(V.PRICE)))
     cost = (filled * average - F.when(unit == QUOTE_UNIT, fee).otherwise(F.lit(0).cast(V.PRICE))).cast(QUOTE)
@@ -51,7 +51,7 @@ def exits(opened: DataFrame, fills: DataFrame, attempts: int = ATTEMPTS) -> Data
     nothing. A fold of one position's attempts, of which there are at most `attempts` before a person takes over.
     """
     unit = _unit("fee_unit")
-    each = fills.select("position_id", F.struct("number", V.price("filled").alias("filled"), V.price(F.coalesce("average", F.lit(0))).alias("average"), F.col("average").isNull().alias("unpriced"), V.price(F.coalesce("fee", F.lit(0))).alias("fee"), unit.alias("unit")).alias("x"))
+    each = fills.select("position_id", F.struct("number", V.price("filled").alias("filled"), F.coalesce(V.price("average"), V.literal_price("0")).alias("average"), F.col("average").isNull().alias("unpriced"), F.coalesce(V.price("fee"), V.literal_price("0")).alias("fee"), unit.alias("unit")).alias("x"))
     gathered = each.groupBy("position_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     joined = opened.filter("status = 'long'").select("position_id", "owned", "cost").join(gathered, "position_id", "left")
     none = F.lit(None).cast("string")
