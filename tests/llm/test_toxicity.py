@@ -1,16 +1,29 @@
+import bisect
+
 import cases
 from tidemark.llm import common, toxicity
 
 
-def test_held_out_accuracy(spark, large):
-    scored = toxicity.op1_toxicity(spark, large)
-    labels = common.table(spark, large, "labels").select("doc_id", "toxic")
-    rows = scored.filter("held_out").join(labels, "doc_id").select("toxic", "score", "predicted").collect()
+def measured(spark, folder):
+    """(area under the curve, recall, false positives' share) over labelled rows that nothing was learned from."""
+    labels = common.table(spark, folder, "labels").select("doc_id", "toxic")
+    rows = toxicity.op1_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").select("toxic", "score", "predicted").collect()
     toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
     assert len(toxic) > 5 and all(0 <= r.score <= 1 for r in rows)
-    above = sum((t.score > c.score) + 0.5 * (t.score == c.score) for t in toxic for c in clean) / (len(toxic) * len(clean))
-    assert above > 0.9
-    assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic) and sum(r.predicted for r in clean) <= 0.1 * len(clean)
+    order = sorted(r.score for r in clean)
+    above = sum(bisect.bisect_left(order, t.score) + bisect.bisect_right(order, t.score) for t in toxic) / 2 / (len(toxic) * len(clean))
+    return above, sum(r.predicted for r in toxic) / len(toxic), sum(r.predicted for r in clean) / len(clean)
+
+
+def test_held_out_accuracy(spark, labelled):
+    """Twenty thousand labels; README.md has what fewer give."""
+    above, recall, wrong = measured(spark, labelled)
+    assert above > 0.98 and recall > 0.85 and wrong < 0.03
+
+
+def test_few_labels_leave_clean_documents_alone(spark, medium):
+    above, _, wrong = measured(spark, medium)
+    assert above > 0.7 and wrong < 0.03
 
 
 def test_awkward_rows(spark, small):
