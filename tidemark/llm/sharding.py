@@ -86,7 +86,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     total = rows.count()
     quota = -(-total // shards)
     part_rows = max(1, quota // 2)
-    groups = rows.groupBy("g", "missing").agg(F.count("*").alias("members")).filter("members > 1")
+    # stored, so that both sides of the join below are plain exchanges, which Spark splits at a large group
+    groups = common.stored(rows.groupBy("g", "missing").agg(F.count("*").alias("members")).filter("members > 1"), "shard-groups")
     parts = F.ceil(F.col("members") / part_rows)
     linked = rows.join(groups, ["g", "missing"]).select("key", F.xxhash64("g", "missing", F.pmod(F.xxhash64("key"), parts)).alias("hub"))
     state = propagate(linked, shards, quota, rounds)
