@@ -1,10 +1,13 @@
 """Line dedup by content-defined chunks of lines.
 
 A line ends at a line feed, or after a full stop, question or exclamation mark with a space behind it: running text
-without line feeds has lines too. A rolling hash over the hashes of a line and the one before decides whether a chunk
-ends there, so boundaries follow the content and survive insertions. A chunk is removed if it stands elsewhere too, byte
-for byte, and this is not its first place in the order of (doc_id, text hash, number of the chunk). Only chunks of two
-lines and min_words words or more count; a shorter repeated chunk goes where it touches a removed one.
+without line feeds has lines too. Every line end ends a chunk, and so does a blank inside a line if a hash of the eight
+bytes before it is the least among it and three blanks on either side: boundaries depend on a passage's own bytes alone,
+whatever stands around it. Lines without words belong to the chunk before them. A chunk is removed if what it is compared by stands elsewhere too, byte for byte, and this is not its first place in the
+order of (doc_id, text hash, number of the chunk). A chunk of min_words words or more is compared by its own bytes. Of
+the shorter ones, half by a bit of their hash, and the first of a line of min_words words, are compared together with
+what follows them, up to min_words words, such a line's within the line; the others go where they repeat and touch a
+removed chunk. What is removed stands whole at the first place.
 
 Two passes over the text: the first shuffles chunk hashes alone, counted before the shuffle. Repeated hashes become a
 Bloom filter of fixed size. The second pass takes the text of chunks that pass the filter and groups it: equal groups
@@ -24,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm import common
-from tidemark.llm.spans import Block, binary_list, blocks
+from tidemark.llm.spans import _MASK, Block, binary_list, blocks, runs
 
 MIN_WORDS = 10
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 3
 BLOCK_BYTES = 1 << 20
+APART = 3
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -41,10 +45,11 @@ class Chunks:
     number: np.ndarray  # within its text
     start: np.ndarray
     stop: np.ndarray  # where the next chunk starts
-    content: np.ndarray  # end of the last line's content
-    lines: np.ndarray
-    words: np.ndarray
+    content: np.ndarray  # end of the bytes it is compared by, which begin at start
+    lines: np.ndarray  # chunks it is compared with; one of min_words words or more counts as two
+    words: np.ndarray  # in the bytes it is compared by
     hash: np.ndarray
+    ends: np.ndarray  # lines that end in it
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def chunk(texts: list[bytes]) -> Chunks:
+def chunk(texts: list[bytes], min_words: int = MIN_WORDS) -> Chunks:
     """Chunks of all texts; an empty text has one chunk of one empty line."""
     block = Block(texts, b"\n")
     data = block.data[: block.size]
@@ -67,34 +72,58 @@ def chunk(texts: list[bytes]) -> Chunks:
     tail = np.maximum(body, stop - ((stop > body) & (block.data[stop - 1] == 10)))
     solid = data > 32
     begins = np.concatenate(([0], np.cumsum(np.diff(solid.astype(np.int8), prepend=0) == 1)))
-    words = begins[tail] - begins[body]
+    blank = np.flatnonzero((data[:-1] == 32) & solid[1:])
+    line = np.cumsum(end)[blank]
+    inside = (blank > body[line]) & (blank < tail[line])
+    blank, line = blank[inside], line[inside]
+    seen = np.minimum(blank - body[line], 8)  # bytes of the line before the blank
     with np.errstate(over="ignore"):
-        h = block.hashes(body, tail - body)
-        first = np.ones(len(start), bool)
-        first[1:] = owner[1:] != owner[:-1]
-        before = np.concatenate(([np.uint64(0)], h[:-1]))
-        before[first] = 0
-        cut = (_mix(h * _K2 + _mix(before)) >> np.uint64(63)) == 0  # a chunk ends after this line
-        opens = first.copy()
-        opens[1:] |= cut[:-1]
-        at = np.flatnonzero(opens)
-        within = np.arange(len(start)) - np.repeat(at, np.diff(np.append(at, len(start))))
-        total = np.add.reduceat(_mix(h + within.astype(np.uint64) * _K1), at)
-    last = np.append(at[1:], len(start)) - 1
-    first_chunk = np.searchsorted(owner[at], owner[at])
-    return Chunks(block, owner[at], np.arange(len(at)) - first_chunk, start[at], stop[last], tail[last], last - at + 1, np.add.reduceat(words, at), total)
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunks]]:
+        rank = _mix((block.eight(blank - seen) & _MASK[seen]) * _K2)
+    picked = np.ones(len(blank), bool)
+    for k in range(1, APART + 1):
+        near = line[k:] == line[:-k]
+        picked[:k] = picked[len(blank) - min(k, len(blank)) :] = False
+        picked[k:] &= near & (rank[k:] < rank[:-k])
+        picked[:-k] &= near & (rank[:-k] <= rank[k:])
+    at, line = np.concatenate((start, blank[picked])), np.concatenate((np.arange(len(start)), line[picked]))
+    order = np.argsort(at, kind="stable")
+    at, line = at[order], line[order]
+    last = np.append(line[1:] != line[:-1], True)
+    after = np.append(at[1:], 0)
+    stop, content = np.where(last, stop[line], after), np.where(last, tail[line], after)
+    own = np.minimum(at + (block.data[at] == 32), content)
+    owner = owner[line]
+    words = begins[content] - begins[own]
+    leads = np.flatnonzero((words > 0) | np.append(True, owner[1:] != owner[:-1]))  # wordless ones join the one before
+    stop, ends = stop[np.append(leads[1:], len(at)) - 1], np.add.reduceat(last.astype(np.int64), leads)
+    at, line, own, content, owner, words = at[leads], line[leads], own[leads], content[leads], owner[leads], words[leads]
+    roomy = (begins[tail] - begins[body])[line] >= min_words
+    h = block.hashes(own, content - own)
+    lines = 1 + (words >= min_words).astype(np.int64)
+    total = np.concatenate(([0], np.cumsum(words)))
+    with np.errstate(over="ignore"):
+        half = (_mix(h * _K2) >> np.uint64(63)) == 0
+    wide = np.flatnonzero((words > 0) & (words < min_words) & (half | (roomy & (at == start[line]))))
+    to = np.searchsorted(total, total[wide] + min_words) - 1
+    fits = to < len(at)
+    wide, to = wide[fits], to[fits]
+    fits = np.where(roomy[wide], line[to] == line[wide], owner[to] == owner[wide])
+    wide, to = wide[fits], to[fits]
+    content[wide], lines[wide], words[wide] = content[to], to - wide + 1, total[to + 1] - total[wide]
+    h[wide] = block.hashes(own[wide], content[wide] - own[wide])
+    return Chunks(block, owner, np.arange(len(at)) - np.searchsorted(owner, owner), at, stop, content, lines, words, h, ends)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[pa.RecordBatch, Chunks]]:
     for batch in batches:
         texts = binary_list(batch.column("text"))
         for a, b in blocks(texts, BLOCK_BYTES):
-            yield batch.slice(a, b - a), chunk(texts[a:b])
+            yield batch.slice(a, b - a), chunk(texts[a:b], min_words)
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
+def _hashes(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c in _batches(batches):
+        for _, c in _batches(batches, min_words):
             found, n = np.unique(c.hash.view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -120,13 +149,13 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FIL
 
     Short ones are given as -1 - number: they go only next to removed ones.
     """
-    counted = _hashes(docs).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    counted = _hashes(docs, min_words).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     counted = common.stored(counted, "repeated-lines")
     shared = docs.sparkSession.sparkContext.broadcast(_filter(counted, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint64)
-        for batch, c in _batches(batches):
+        for batch, c in _batches(batches, min_words):
             ids, hashes = batch.column("__id"), batch.column("__th")
             places = np.stack([batch_places(c.hash, k) for k in range(FILTER_HASHES)])
             maybe = np.flatnonzero(np.all((table[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1), axis=0))
@@ -136,17 +165,17 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FIL
                 owner = pa.array(c.owner[at])
                 raw = c.block.raw
                 text = [raw[x:y] for x, y in zip(c.start[at].tolist(), c.content[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.take(owner), hashes.take(owner), pa.array(c.number[at].astype(np.int32)), pa.array(long[at]), pa.array(c.hash[at].view(np.int64)), pa.array([t[1:] if t[:1] == b" " else t for t in text], pa.binary())], ["__id", "__th", "number", "long", "h", "chunk"])
+                yield pa.RecordBatch.from_arrays([ids.take(owner), hashes.take(owner), pa.array(c.number[at].astype(np.int32)), pa.array(long[at]), pa.array([t[1:] if t[:1] == b" " else t for t in text], pa.binary())], ["__id", "__th", "number", "long", "chunk"])
 
     def batch_places(h: np.ndarray, k: int) -> np.ndarray:
         return np.mod(_spark_hash(h, k), bits)
 
-    found = _keyed(docs).select("__id", "__th", "text").mapInArrow(run, "__id long, __th long, number int, long boolean, h long, chunk binary")
+    found = _keyed(docs).select("__id", "__th", "text").mapInArrow(run, "__id long, __th long, number int, long boolean, chunk binary")
     found = common.stored(found, "line-candidates")
     place = F.struct(F.coalesce("__id", F.lit(-(2**63))).alias("a"), F.col("__th").alias("b"), F.col("number").alias("c"))
     # stored, so that both sides of the join below are plain exchanges, which Spark splits at a frequent chunk
-    first = common.stored(found.groupBy("h", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "line-first")
-    again = found.join(first, ["h", "chunk"]).filter(place != F.col("first"))
+    first = common.stored(found.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "line-first")
+    again = found.join(first, "chunk").filter(place != F.col("first"))
     return again.groupBy("__id", "__th").agg(F.collect_set(F.when(F.col("long"), F.col("number")).otherwise(-1 - F.col("number"))).alias("remove"))
 
 
@@ -173,7 +202,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_
 
     docs needs doc_id and text; other columns stay, except that columns of those four names are replaced. A null text
     stays null and counts as one empty line. Rows that share doc_id and text are one document: all keep or lose the
-    same chunks. Chunks that repeat inside one document count too. Texts of any length are taken whole; an empty table
+    same chunks. Chunks that repeat inside one document count too. A line is removed if its last chunk is. Texts of any length are taken whole; an empty table
     gives no rows.
     """
     extra = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
@@ -185,7 +214,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_
     joined = left.join(right, same, "left").select("row.*", F.col("remove").alias(marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, c in _batches(batches):
+        for batch, c in _batches(batches, min_words):
             removed = np.zeros(len(c.owner), bool)
             first = np.searchsorted(c.owner, np.arange(batch.num_rows + 1))
             texts = batch.column("text").to_pylist()
@@ -193,28 +222,24 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_
                 if numbers:
                     _mark(removed[first[i] : first[i + 1]], numbers)
                     if removed[first[i] : first[i + 1]].any():
-                        kept = np.flatnonzero(~removed[first[i] : first[i + 1]]) + first[i]
-                        texts[i] = b"".join(c.block.cut(int(a), int(b - a)) for a, b in zip(c.start[kept], c.stop[kept], strict=True)).decode()
-            sums = lambda x: pa.array(np.add.reduceat(x, first[:-1]).astype(np.int64)) if batch.num_rows else pa.array([], pa.int64())  # noqa: E731, B023
+                        kept, n = runs(~removed[first[i] : first[i + 1]])
+                        kept += first[i]
+                        texts[i] = b"".join(c.block.raw[a:b] for a, b in zip(c.start[kept].tolist(), c.stop[kept + n - 1].tolist(), strict=True)).decode()
+            sums = lambda x: pa.array(np.add.reduceat(x.astype(np.int64), first[:-1])) if batch.num_rows else pa.array([], pa.int64())  # noqa: E731, B023
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, sums(c.lines), pa.array(np.diff(first)), sums(removed.astype(np.int64)), sums(c.lines * removed)], [*names, *extra])
+            yield pa.RecordBatch.from_arrays([*columns, sums(c.ends), pa.array(np.diff(first)), sums(removed), sums(c.ends * removed)], [*names, *extra])
 
     return joined.mapInArrow(run, StructType([*base.schema.fields, *[StructField(n, LongType()) for n in extra]]))
 
 
 def _mark(removed: np.ndarray, numbers: list[int]) -> None:
-    """Mark long chunks, then short repeated ones next to marked ones, in both directions."""
-    short = np.zeros(len(removed), bool)
-    for n in numbers:
-        if n >= 0:
-            removed[n] = True
-        else:
-            short[-1 - n] = True
-    for step in (range(1, len(removed)), range(len(removed) - 2, -1, -1)):
-        back = -1 if step.step == 1 else 1
-        for k in step:
-            if short[k] and removed[k + back]:
-                removed[k] = True
+    """Mark long chunks, then runs of short repeated ones next to marked ones, in both directions."""
+    n = np.array(numbers, np.int64)
+    removed[n[n >= 0]] = True
+    goes = removed.copy()
+    goes[-1 - n[n < 0]] = True
+    run = np.cumsum(~goes)
+    removed |= goes & (np.bincount(run, removed) > 0)[run]
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
