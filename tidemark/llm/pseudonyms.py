@@ -4,8 +4,10 @@ Validated numbers and dates in a text are replaced by others of the same format,
 equal pseudonyms in every document, unlike values get unlike ones, and restore() with the key undoes it.
 
 What is found, what makes it valid, and what stays:
-  card   13 to 19 digits, blanks or hyphens between, that pass the Luhn check; the first digit stays, the last is the new check digit
-  phone  ten digits of the North American plan with separators; country code and the two leading digits from 2 to 9 stay
+  card   13 to 19 digits, blanks or hyphens between, that pass the Luhn check as a whole; the first digit stays, the last is the new
+         check digit; a card with one to three more digits beside it is not found
+  phone  ten digits of the North American plan with separators, any area code after +1 or in brackets; country code and the
+         first digits of area and exchange stay
   ssn    ddd-dd-dddd, area not 000, 666 or 9xx, no part of zeros; the area stays
   ipv4   four numbers to 255; all 32 bits are permuted
   date   yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy, a real day of 1901 to 2100; it stays in its century of 36,525 or 36,524 days
@@ -29,7 +31,7 @@ KINDS = {
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+?1[ .-]?)?\(?[2-9]\d{2}\)?[ .-]?[2-9]\d{2}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\d+])(?:(?:\+?1[ .-]?)?\(?[2-9]\d{2}\)?|\+1[ .-]?\d{3}|(?:\+?1[ .-]?)?\(\d{3}\))[ .-]?[2-9]\d{2}[ .-]\d{4}(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 PATTERN = "|".join(KINDS.values())
@@ -108,7 +110,7 @@ def _card(m: Column, key: str, undo: bool) -> Column:
 
 
 def _phone(m: Column, key: str, undo: bool) -> Column:
-    part = lambda k: F.regexp_extract(m, r"^((?:\+?1[ .-]?)?\(?[2-9])(\d{2})(\)?[ .-]?[2-9])(\d{2}[ .-]\d{4})$", k)
+    part = lambda k: F.regexp_extract(m, r"^((?:\+?1[ .-]?)?\(?\d)(\d{2})(\)?[ .-]?[2-9])(\d{2}[ .-]\d{4})$", k)
     moved = _permuted(F.concat(part(2), part(4)), key, "phone", undo)
     return F.concat(part(1), F.substr(moved, F.lit(1), F.lit(2)), part(3), F.substr(moved, F.lit(3), F.length(moved)))
 
