@@ -1,15 +1,4 @@
 import sys
 from pathlib import Path
 
-import pytest
-
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-
-
-@pytest.fixture(scope="session")
-def labelled(small):
-    """Tables with enough labels of every language to learn from."""
-    folder = Path(small).parent / "check_s"
-    if not folder.exists():
-        pytest.skip("the larger tables are not here")
-    return str(folder)

@@ -1,29 +1,46 @@
 import bisect
+from pathlib import Path
 
 import cases
 from tidemark.llm import common, toxicity
 
 
 def measured(spark, folder):
-    """(area under the curve, recall, false positives' share) over labelled rows that nothing was learned from."""
-    labels = common.table(spark, folder, "labels").select("doc_id", "toxic")
-    rows = toxicity.op1_toxicity(spark, folder).filter("held_out").join(labels, "doc_id").select("toxic", "score", "predicted").collect()
-    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
-    assert len(toxic) > 5 and all(0 <= r.score <= 1 for r in rows)
-    order = sorted(r.score for r in clean)
-    above = sum(bisect.bisect_left(order, t.score) + bisect.bisect_right(order, t.score) for t in toxic) / 2 / (len(toxic) * len(clean))
-    return above, sum(r.predicted for r in toxic) / len(toxic), sum(r.predicted for r in clean) / len(clean)
+    """(labels, scores and predictions of labelled rows that nothing was learned from) by language."""
+    labels, docs = (common.table(spark, folder, t) for t in ("labels", "documents"))
+    rows = toxicity.op1_toxicity(spark, folder).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    return rows
 
 
-def test_held_out_accuracy(spark, labelled):
-    """Twenty thousand labels; README.md has what fewer give."""
-    above, recall, wrong = measured(spark, labelled)
-    assert above > 0.98 and recall > 0.85 and wrong < 0.03
+def share(rows, toxic):
+    return sum(r.predicted for r in rows if r.toxic == toxic) / sum(r.toxic == toxic for r in rows)
+
+
+def test_held_out_accuracy(spark, small):
+    """Four thousand labels: nine of ten toxic texts in all, and most in every language; two of a hundred clean ones at most."""
+    rows = measured(spark, str(Path(small).parent / "sf0.1"))
+    assert share(rows, 1) >= 0.9 and share(rows, 0) <= 0.02
+    for lang in {r.lang for r in rows}:
+        assert share([r for r in rows if r.lang == lang], 1) >= 0.8
+    order = sorted(r.score for r in rows if not r.toxic)
+    toxic = [r.score for r in rows if r.toxic]
+    assert sum(bisect.bisect_left(order, x) + bisect.bisect_right(order, x) for x in toxic) / 2 / (len(toxic) * len(order)) > 0.95
 
 
 def test_few_labels_leave_clean_documents_alone(spark, medium):
-    above, _, wrong = measured(spark, medium)
-    assert above > 0.7 and wrong < 0.03
+    assert share(measured(spark, medium), 0) <= 0.02
+
+
+def test_dictionaries_are_trained(spark, small):
+    """Both begin with the magic number of a trained zstandard dictionary and hold what their texts repeat."""
+    toxic = [f"the grumbolt {k} went to zarkon{k % 7} with all of the people".encode() for k in range(60)]
+    plain = [f"the people {k} went to garden{k % 7} with all of the trees".encode() for k in range(120)]
+    model = toxicity.fit([*((t, 1) for t in toxic), *((t, 0) for t in plain)], {1: 60, 0: 120})
+    assert model.toxic[:4] == model.ordinary[:4] == (0xEC30A437).to_bytes(4, "little")
+    assert toxicity._placed(b" grumbol")[:8] in model.toxic and toxicity._placed(b" grumbol")[:8] not in model.ordinary
+    scores = model.scores([b"a grumbolt is there", b"a garden is there", b""])
+    assert scores[0] > max(scores[1:])
 
 
 def test_awkward_rows(spark, small):
