@@ -18,7 +18,7 @@ def brute(docs, items):
         w = words(text)
         size = min(13, len(w))
         for k in range(len(w) - size + 1 if size else 0):
-            windows.setdefault(tuple(w[k : k + size]), set()).add(item)
+            windows.setdefault(tuple(w[k : k + size]), set()).add(None if item is None else str(item))
     sizes = {len(k) for k in windows}
     out = []
     for doc_id, text in docs:
@@ -28,7 +28,7 @@ def brute(docs, items):
                 if got := windows.get(tuple(w[k : k + size])):
                     hit.update(range(k, k + size))
                     seen |= got
-        out.append((doc_id, len(w), len(hit), sorted(seen)))
+        out.append((doc_id, len(w), len(hit), sorted(seen, key=lambda i: (i is None, i or ""))))
     return sorted(out, key=repr)
 
 
@@ -46,10 +46,24 @@ def test_awkward_rows(spark):
     assert len(none) == len(cases.ROWS) and all(r.hit_words == 0 for r in none)
 
 
+def test_null_and_textual_ids(spark):
+    """Two items share a window, one of them without an id; ids may be any text; a document without an id keeps its row."""
+    for items, kind in (([(1, "b c d"), (None, "b c d"), (None, "c d e"), (10, "b c d")], "long"), ([("x-1", "b c d"), (None, "B c D"), ("x-10", "b c d"), ("x-1", "c d e")], "string")):
+        table = spark.createDataFrame(items, f"item_id {kind}, text string")
+        docs = [(1, "a b c d e"), (None, "b c d"), (None, None), (1, "a b c d e"), (2, "c d")]
+        assert found(d.contamination(spark.createDataFrame(docs, "doc_id long, text string"), table)) == brute(docs, items)
+
+
+def test_kept_columns(spark):
+    docs = cases.docs(spark).withColumn("items", cases.F.lit("old"))
+    got = d.contamination(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"), keep=docs.columns)
+    assert set(got.columns) == {*docs.columns, *d.FOUND.names} and sorted(r.text or "" for r in got.collect()) == sorted(t or "" for _, t in cases.ROWS)
+
+
 def test_query_against_brute_force(spark, small):
     docs = [(r.doc_id, r.text) for r in cases.table(spark, small, "documents").collect()]
     items = [(r.item_id, r.text) for r in cases.table(spark, small, "benchmark").collect()]
-    want = [(i, n, h, len(s), hashlib.sha256(",".join(sorted(map(str, s))).encode()).hexdigest(), h > 0 and 20 * h >= n) for i, n, h, s in brute(docs, items)]
+    want = [(i, n, h, len(s), hashlib.sha256(",".join(s).encode()).hexdigest(), h > 0 and 20 * h >= n) for i, n, h, s in brute(docs, items)]
     got = sorted((tuple(r) for r in QUERIES["op2_decontamination"](spark, small).collect()), key=repr)
     assert got == sorted(want, key=repr) and any(r[5] for r in got)
 

@@ -1,32 +1,38 @@
 """Benchmark decontamination: an FM-index for every training shard, searched for windows of the test items.
 
-A shard is a block of documents of about shard_bytes inside a task. Words that no test item has can be in no match, so
-the index holds the stretches between them, each at least as long as the shortest window; every document of the shard
-is in it with all stretches that could match. Test windows are searched backwards through the wavelet tree, occurrences
-are located from sampled suffix positions, and their word ranges are merged into removal spans. No row is shuffled, so a
-passage that a third of all documents share costs no more than its occurrences.
-
-Test items are a stated query set. They reach the tasks in blocks of at most query_bytes each, so what a task holds at
-once is bounded however many items there are.
+A shard is a block of documents of about shard_bytes inside a task; a longer document is a shard of its own. All words of
+its documents are indexed, once. Test windows are searched backwards through the wavelet tree, occurrences are located
+from sampled suffix positions, and their word ranges are merged into removal spans. No row is shuffled, so a passage that
+a third of all documents share costs no more than its occurrences.
+
+Test items are a stated query set. Tasks over the items write their windows to the shared folder in blocks of about
+query_bytes of text each; a task over documents holds one index and one block at a time, however many items there are.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tidemark.llm import common
 from tidemark.llm.fm_index import FMIndex
-from tidemark.llm.spans import Block, binary_list, blocks, runs, spread
+from tidemark.llm.spans import Block, binary_list, blocks, distinct, runs, spread
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
 QUERY_BYTES = 32 << 20
-RESULT = "doc_id long, n_words long, hit_words long, items array<long>, spans array<struct<start:long,stop:long>>"
+FOUND = StructType([
+    StructField("n_words", LongType()), StructField("hit_words", LongType()), StructField("items", ArrayType(StringType())),
+    StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))),
+])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 _WORD = np.ones(256, bool)
 _WORD[:128] = [chr(b).isdigit() or "a" <= chr(b) <= "z" for b in range(128)]
@@ -39,149 +45,174 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
 class Queries:
     """Windows of some items over a vocabulary of their words."""
 
-    def __init__(self, item_ids: list[int], texts: list[bytes], window: int):
+    def __init__(self, item_ids: list[str | None], texts: list[bytes], window: int):
         block = Block(texts, lower=True)
         start, length = _words(block)
         owner = np.searchsorted(block.starts, start, side="right") - 1
         words = [block.cut(a, n) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
         known: dict[bytes, int] = {}
-        symbols = np.array([known.setdefault(w, len(known) + 1) for w in words], np.int64)
+        symbols = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
         self.vocabulary = list(known)
-        places: dict[bytes, list[int]] = {}
-        self.lengths: dict[bytes, int] = {}
+        places: dict[bytes, set[str | None]] = {}
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         for i in range(len(texts)):
             own = symbols[first[i] : first[i + 1]]
             size = min(window, len(own))
             for a in range(len(own) - size + 1 if size else 0):
-                places.setdefault(own[a : a + size].tobytes(), []).append(item_ids[i])
-        by_size: dict[int, list[tuple[np.ndarray, list[int]]]] = {}
+                places.setdefault(own[a : a + size].tobytes(), set()).add(item_ids[i])
+        by_size: dict[int, list[tuple[np.ndarray, set[str | None]]]] = {}
         for key, items in places.items():
             pattern = np.frombuffer(key, np.int64)
-            by_size.setdefault(len(pattern), []).append((pattern, sorted(set(items))))
+            by_size.setdefault(len(pattern), []).append((pattern, items))
         self.groups = [(size, np.stack([p for p, _ in got]), [items for _, items in got]) for size, got in sorted(by_size.items())]
-        self.shortest = min(by_size, default=0)
-
-
-def _query_blocks(items: DataFrame, window: int, query_bytes: int) -> Iterator[Queries]:
-    """Items that have text, read block by block; the driver holds one block at a time."""
-    ids: list[int] = []
-    texts: list[bytes] = []
-    size = 0
-    for row in items.select(F.col("item_id").cast("long").alias("i"), common.text_bytes().alias("t")).toLocalIterator():
-        if texts and size + len(row.t) > query_bytes:
-            yield Queries(ids, texts, window)
-            ids, texts, size = [], [], 0
-        ids.append(row.i)
-        texts.append(bytes(row.t))
-        size += len(row.t)
-    if texts:
-        yield Queries(ids, texts, window)
-
-
-def _scan(texts: list[bytes], queries: list[Queries]) -> Iterator[tuple[int, int, list[int], list[tuple[int, int]]]]:
-    """(words, hit words, items, merged byte spans) of each text of one shard."""
-    block = Block(texts, lower=True)
-    start, length = _words(block)
-    first = np.searchsorted(start, np.append(block.starts, block.size))
-    hit = np.zeros(len(start) + 1, np.int64)
-    hashes = block.hashes(start, length)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    for q in queries:
-        if q.shortest and len(start):
-            _search(block, start, length, hashes, first, q, hit, pairs)
-    covered = np.cumsum(hit[:-1]) > 0
-    total = np.concatenate(([0], np.cumsum(covered)))
-    items: dict[int, set[int]] = {}
-    for docs, found in pairs:
-        for d, i in zip(docs.tolist(), found, strict=True):
-            items.setdefault(d, set()).update(i)
-    for d in range(len(texts)):
-        a, b = int(first[d]), int(first[d + 1])
-        spans = []
-        if d in items:
-            at, n = runs(covered[a:b])
-            begin = start[a + at] - block.starts[d]
-            stop = start[a + at + n - 1] + length[a + at + n - 1] - block.starts[d]
-            spans = list(zip(begin.tolist(), stop.tolist(), strict=True))
-        yield b - a, int(total[b] - total[a]), sorted(items.get(d, ())), spans
-
-
-def _search(block: Block, start: np.ndarray, length: np.ndarray, hashes: np.ndarray, first: np.ndarray, q: Queries, hit: np.ndarray, pairs: list) -> None:
-    vocabulary = Block(q.vocabulary, lower=True)
-    sizes = vocabulary.ends - vocabulary.starts
-    wanted = vocabulary.hashes(vocabulary.starts, sizes)
-    order = np.argsort(wanted, kind="stable")
-    shift = np.uint64(44)
-    table = np.zeros(1 << 20, bool)
-    table[wanted >> shift] = True
-    near = np.flatnonzero(table[hashes >> shift])
-    place = np.minimum(np.searchsorted(wanted[order], hashes[near]), len(order) - 1)
-    equal = wanted[order[place]] == hashes[near]
-    near, symbol = near[equal], order[place[equal]] + 1
-    joined = Block([block.raw[: block.size], vocabulary.raw[: vocabulary.size]])
-    there = joined.starts[1] + vocabulary.starts[symbol - 1]
-    exact = (length[near] == sizes[symbol - 1]) & joined.same(start[near], there, length[near])
-    symbols = np.zeros(len(start), np.int64)
-    symbols[near[exact]] = symbol[exact]
-
-    inside = symbols > 0
-    broken = np.concatenate((inside, [False]))  # a stretch ends with its document: find runs, then cut them there
-    run_start, run_length = runs(broken[:-1])
-    breaks = first[1:-1]
-    breaks = breaks[(breaks > 0) & (breaks < len(start))]
-    breaks = np.unique(breaks[inside[breaks] & inside[breaks - 1]])
-    run_start = np.union1d(run_start, breaks)
-    stop = np.union1d(np.flatnonzero(np.diff(inside.astype(np.int8), append=0) == -1) + 1, breaks)
-    run_length = stop - run_start
-    keep = run_length >= q.shortest
-    run_start, run_length = run_start[keep], run_length[keep]
-    if not len(run_start):
-        return
-    word = spread(run_start, run_length + 1)  # the place after each stretch holds its end
-    text = np.zeros(len(word), np.int64)
-    ends = np.cumsum(run_length + 1) - 1
-    body = np.ones(len(word), bool)
-    body[ends] = False
-    text[body] = symbols[word[body]]
-    index = FMIndex(text, len(q.vocabulary))
-    for size, patterns, items in q.groups:
-        low, high = index.search(patterns)
-        found = np.flatnonzero(high > low)
-        if not len(found):
-            continue
-        counts = high[found] - low[found]
-        at = word[index.locate(spread(low[found], counts))]
-        np.add.at(hit, at, 1)
-        np.add.at(hit, at + size, -1)
-        docs = np.searchsorted(first, at, side="right") - 1
-        which = np.repeat(found, counts)
-        both = np.unique(docs * len(items) + which)
-        pairs.append((both // len(items), [items[k] for k in (both % len(items)).tolist()]))
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """One row a document: doc_id, n_words, hit_words, items found, merged spans to remove as UTF-8 byte offsets.
-
-    docs needs doc_id and text, items item_id and text; other columns are left out. Null and empty texts have no words;
-    an item without words is never found; items or documents that repeat count each for itself. Empty tables give
-    no hits or no rows.
+
+
+def _query_files(items: DataFrame, window: int, query_bytes: int) -> list[str]:
+    """Paths of the blocks of windows; the driver sees the paths alone."""
+    folder = common.fresh_dir(items.sparkSession, "windows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        where, root = fs.FileSystem.from_uri(folder)
+        where.create_dir(root, recursive=True)
+        ids: list[str | None] = []
+        texts: list[bytes] = []
+        paths: list[str] = []
+        size = 0
+
+        def write() -> None:
+            name = f"block-{TaskContext.get().taskAttemptId()}-{len(paths)}"
+            with where.open_output_stream(f"{root}/{name}", compression=None) as sink:
+                sink.write(pickle.dumps(Queries(ids, texts, window)))
+            paths.append(f"{folder}/{name}")
+
+        for batch in batches:
+            for i, t in zip(batch.column("item_id").to_pylist(), binary_list(batch.column("text")), strict=True):
+                if size > query_bytes:
+                    write()
+                    ids, texts, size = [], [], 0
+                if t:
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t)
+        if texts:
+            write()
+        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
+
+    found = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string")
+    return sorted(r.path for r in found.collect())
+
+
+@lru_cache(maxsize=1)
+def _queries(path: str) -> Queries:
+    """One block of windows; a worker keeps the last one."""
+    from pyarrow import fs
+
+    where, name = fs.FileSystem.from_uri(path)
+    with where.open_input_stream(name, compression=None) as source:
+        return pickle.loads(source.read())
+
+
+class Shard:
+    """Documents with an FM-index over all their words."""
+
+    def __init__(self, texts: list[bytes]):
+        self.block = Block(texts, lower=True)
+        self.start, self.length = _words(self.block)
+        self.first = np.searchsorted(self.start, np.append(self.block.starts, self.block.size))
+        self.hit = np.zeros(len(self.start) + 1, np.int64)
+        self.items: dict[int, set[str | None]] = {}
+        if not len(self.start):
+            return
+        codes, lead = distinct(self.block, self.start, self.length)
+        # every document is a stretch with an end behind it; word gives the word at each place of the index
+        self.word = np.insert(np.arange(len(self.start)), self.first[1:], -1)
+        self.index = FMIndex(np.insert(codes + 1, self.first[1:], 0), len(lead))
+        hashes = self.block.hashes(self.start[lead], self.length[lead])
+        self.order = np.argsort(hashes, kind="stable")
+        self.lead, self.hashes = lead[self.order], hashes[self.order]
+
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        """The index's symbol of each word, 0 for a word that no document here has."""
+        out = np.zeros(len(words), np.int64)
+        block = Block([self.block.raw[: self.block.size], b" ".join(words)])
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        at = block.starts[1] + np.cumsum(sizes + 1) - sizes - 1
+        hashes = block.hashes(at, sizes)
+        place, left = np.searchsorted(self.hashes, hashes), np.arange(len(words))
+        while len(left):  # more than once only where hashes collide
+            left = left[place[left] < len(self.hashes)]
+            left = left[self.hashes[place[left]] == hashes[left]]
+            lead = self.lead[place[left]]
+            same = (self.length[lead] == sizes[left]) & block.same(self.start[lead], at[left], sizes[left])
+            out[left[same]] = self.order[place[left[same]]] + 1
+            left = left[~same]
+            place[left] += 1
+        return out
+
+    def search(self, queries: Queries) -> None:
+        if not len(self.start):
+            return
+        symbols = self.symbols(queries.vocabulary)
+        for size, windows, items in queries.groups:
+            patterns = symbols[windows]
+            whole = np.flatnonzero((patterns > 0).all(axis=1))
+            if not len(whole):
+                continue
+            low, high = self.index.search(patterns[whole])
+            found = np.flatnonzero(high > low)
+            if not len(found):
+                continue
+            counts = high[found] - low[found]
+            at = self.word[self.index.locate(spread(low[found], counts))]
+            np.add.at(self.hit, at, 1)
+            np.add.at(self.hit, at + size, -1)
+            docs = np.searchsorted(self.first, at, side="right") - 1
+            both = np.unique(docs * len(whole) + np.repeat(found, counts))
+            for d, k in zip((both // len(whole)).tolist(), whole[both % len(whole)].tolist(), strict=True):
+                self.items.setdefault(d, set()).update(items[k])
+
+    def rows(self) -> Iterator[tuple[int, int, list[str | None], list[dict]]]:
+        """(words, hit words, items, merged byte spans) of each document."""
+        covered = np.cumsum(self.hit[:-1]) > 0
+        total = np.concatenate(([0], np.cumsum(covered)))
+        for d, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
+            spans = []
+            if d in self.items:
+                at, n = runs(covered[a:b])
+                begin, last = self.start[a + at] - self.block.starts[d], a + at + n - 1
+                stop = self.start[last] + self.length[last] - self.block.starts[d]
+                spans = [{"start": x, "stop": y} for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
+            yield b - a, int(total[b] - total[a]), sorted(self.items.get(d, ()), key=lambda i: (i is None, i or "")), spans
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of every row (doc_id unless named) with n_words, hit_words, the ids of items found as strings, and
+    merged spans to remove as UTF-8 byte offsets.
+
+    docs needs doc_id and text, items item_id and text; columns of those four names are replaced. Null and empty texts
+    have no words; an item without words is never found. Items that share an id are one; items with a null id are one
+    null in the list. Repeated rows count each for itself; a null doc_id is kept. A text of any length is searched whole.
+    Empty tables give no hits or no rows.
     """
-    context = docs.sparkSession.sparkContext
-    shared = [context.broadcast(q) for q in _query_blocks(items, window, query_bytes)]
+    paths = _query_files(items, window, query_bytes)
+    names = [c for c in keep or ["doc_id"] if c not in FOUND.names]
+    base = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias(text := common.unused(names, "searched")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = binary_list(batch.column("text")), batch.column("doc_id").to_pylist()
+            texts = binary_list(batch.column(text))
             for a, b in blocks(texts, shard_bytes):
-                rows = list(_scan(texts[a:b], [s.value for s in shared]))
-                words, hits, found, spans = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a:b], pa.int64()), pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))],
-                    ["doc_id", "n_words", "hit_words", "items", "spans"],
-                )
+                shard = Shard(texts[a:b])
+                for path in paths:
+                    shard.search(_queries(path))
+                words, hits, found, spans = zip(*shard.rows(), strict=True)
+                arrays = [pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, _SPANS)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], *arrays], [*names, *FOUND.names])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RESULT)
+    return base.mapInArrow(run, StructType([*[base.schema[c] for c in names], *FOUND.fields]))
 
 
 def is_contaminated() -> Column:
@@ -191,5 +222,5 @@ def is_contaminated() -> Column:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
-    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    names = F.array_join(F.array_sort("items"), ",")
     return found.select("doc_id", "n_words", F.col("hit_words").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))

@@ -14,39 +14,38 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Order of all suffixes; symbols must end with 0."""
     n = len(symbols)
     ends = np.flatnonzero(symbols == 0)
-    rank = symbols.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))  # unlike each other, below all symbols
-    step = 1
-    order = np.argsort(rank, kind="stable")
+    key = symbols.astype(np.int64) + len(ends)
+    key[ends] = np.arange(len(ends))  # unlike each other, below all symbols
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.empty(n, np.int64)  # of the group that each suffix is in so far: where the group starts in order
+    at, step = np.arange(n), 1
     while True:
-        sorted_rank = rank[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate(([0], sorted_rank[1:] != sorted_rank[:-1])))
-        if new[order[-1]] == n - 1:
-            return order
-        follow = np.zeros(n, np.int64)
-        follow[:-step] = new[step:] + 1
-        rank = new * (n + 1) + follow
+        change = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order[at]] = at[np.maximum.accumulate(np.where(change, np.arange(len(at)), 0))]
         # only suffixes that are not yet alone have to move
-        same = np.zeros(n, bool)
-        tie = sorted_rank[1:] == sorted_rank[:-1]
-        same[1:] |= tie
-        same[:-1] |= tie
-        at = np.flatnonzero(same)
+        tied = ~change
+        tied[:-1] |= ~change[1:]
+        at = at[tied]
+        if not len(at):
+            return order
         part = order[at]
-        order[at] = part[np.argsort(rank[part], kind="stable")]
+        key = rank[part] * n + rank[part + step]  # a tied suffix is longer than step: ends are unlike each other
+        by = np.argsort(key)
+        order[at], key = part[by], key[by]
         step *= 2
 
 
 class WaveletTree:
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.ones, self.zeros = bits, [], []
-        now = symbols
+        now = symbols.astype(np.int32)
         for level in range(bits - 1, -1, -1):
-            bit = (now >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
-            flags = bit.astype(bool)
-            self.zeros.append(int(len(now) - flags.sum()))
+            flags = ((now >> level) & 1).astype(bool)
+            ones = np.zeros(len(now) + 1, np.int32)
+            np.cumsum(flags, out=ones[1:])
+            self.ones.append(ones)
+            self.zeros.append(int(len(now) - ones[-1]))
             now = np.concatenate((now[~flags], now[flags]))
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
