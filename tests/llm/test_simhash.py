@@ -59,6 +59,28 @@ def test_against_all_pairs(spark, small):
     assert found(simhash.near_duplicates(docs, tile=2)) == want  # every block key is dealt into tiles
 
 
+def test_rows_without_id_link_others(spark, monkeypatch):
+    """0 - 7 - 63 with a null doc_id in the middle is one component; 2^40 and its neighbour have no doc_id at all."""
+    texts = {"a": 0, "b": 7, "c": 63, "d": 1 << 40, "e": 1 << 40 | 1, "f": 0xFFFFFFFF << 20}
+    monkeypatch.setitem(globals(), "fingerprint", lambda text: texts[text])
+    rows = [(1, "a"), (None, "b"), (3, "c"), (None, "d"), (None, "e"), (9, "f"), (9, "f"), (None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found_rows = spark.createDataFrame([(i, texts[t]) for i, t in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, shingle, key=None: found_rows)
+    assert found(simhash.near_duplicates(docs)) == brute(rows)
+
+
+def test_one_of_each(spark):
+    """Repeated rows, null ids, and one doc_id at two unlike texts: exactly one row a component, and no unique text goes."""
+    a, b, c = ("the quick brown fox jumps over the lazy dog", "an entirely different text about other things", "and here is a third one that nobody repeats")
+    rows = [(6, a), (6, a), (None, a), (7, a), (8, a), (8, b), (None, c), (None, c), (4, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", cases.F.lit("x")).repartition(3)
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(6, a), (8, b), (None, c), (4, None)], key=repr)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_chain_of_links(spark):
     """Fingerprints 3 bits apart, one after another, are one component through their links."""
     chain, fp = [], 0

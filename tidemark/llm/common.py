@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    It is spark.checkpoint.dir of the session. Only where that is unset (tests on one machine) a temporary folder
-    takes its place.
+    Where that is unset a temporary folder takes its place if everything runs on one machine; on a cluster it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -35,14 +37,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that stored() wrote."""
+    """Delete a table that stored() wrote and that no later job reads."""
     jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/" in folder and folder.startswith(shared_dir(spark).removeprefix("file://").join(["file://", ""])):
+        if re.search(r"-[0-9a-f]{32}$", folder) and _plain(folder).startswith(_plain(shared_dir(spark)) + "/"):
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/+", "/", path)
+
+
 def unused(columns: list[str], name: str) -> str:
     """name, with underscores before it as long as a column is called so."""
     taken = {c.lower() for c in columns}

@@ -25,13 +25,16 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of longs -> (node, component) for every node that has a link to another; component is the least node."""
+    spark = links.sparkSession
     now = common.stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
     seen = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(20,0)"))).first()
+        # count, and two sums of unlike 64-bit hashes of the links
+        mark = now.agg(F.count("*"), *[F.sum(F.xxhash64("a", "b", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]).first()
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = mark
+        seen, before = mark, now
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         up = _star(both, large=True).distinct()
         now = common.stored(_star(up.select(F.col("a").alias("u"), F.col("b").alias("v")), large=False).distinct(), "links")
+        common.forget(spark, before)

@@ -50,15 +50,16 @@ def _fingerprint(text: bytes, shingle: int) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * counts > last).tolist()))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp as a signed long) of every row; null and empty texts have fingerprint 0."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str | None = None) -> DataFrame:
+    """(doc_id, fp as a signed long) of every row, with the long column key if named; null and empty texts have fingerprint 0."""
+    kept = ["doc_id", *([key] if key else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((_fingerprint(t, shingle) for t in binary_list(batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*[F.col(c).cast("long") for c in kept], F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def block_keys(fp: str, distance: int, blocks: int) -> Column:
@@ -142,20 +143,48 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, t
     return tiles.mapInArrow(run, "a long, b long")
 
 
+def linked(found: DataFrame, distance: int, blocks: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows with fp: (fp, rep), rep being the least doc_id, and (fp, component, the least linked fp) of fingerprints with links."""
+    distinct = common.stored(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    return distinct, components(links(distinct.select("fp", F.col("fp").alias("rep")), distance, blocks, tile)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """One row a document: doc_id, fp (long), component_id, the least doc_id that links reach, its own included.
 
     docs needs doc_id and text; other columns are left out. Null, empty and blank texts share fingerprint 0 and so one
-    component. Equal texts and repeated rows are one component; a null doc_id keeps its component's id, and is null
-    only where no other row has that fingerprint. An empty table gives no rows.
+    component. Equal texts and repeated rows are one component. A row with a null doc_id links like any other; its
+    component_id is null only where no row of its component has a doc_id. An empty table gives no rows.
+
+    Keys of two of five blocks have about 25 bits, so from about a billion unlike fingerprints on each key has tens of
+    members and comparisons grow with the square; blocks=6, keys of three blocks, about 32 bits, has twenty keys a
+    fingerprint instead of ten, and the same result.
     """
     found = common.stored(fingerprints(docs, shingle), "fingerprints")
-    distinct = common.stored(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    component = components(links(distinct.filter("rep IS NOT NULL"), distance, blocks, tile))
-    by_fp = distinct.join(component, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    distinct, component = linked(found, distance, blocks, tile)
+    both = common.stored(distinct.join(component, "fp"), "linked-fingerprints")
+    # stored, so that Spark splits the join at a large component
+    least = common.stored(both.groupBy("component").agg(F.min("rep").alias("least")), "components")
+    by_fp = distinct.join(both.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """docs with one row of each component: that of the least doc_id, nulls last, and of several the first stored.
+
+    docs needs doc_id and text; all columns stay. Rows are told apart by a number of their own, so repeated rows leave
+    one, and a doc_id that stands at two unlike texts keeps both. Null, empty and blank texts are one component. An empty
+    table gives no rows.
+    """
+    key = common.unused(docs.columns, "row")
+    numbered = common.stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-documents")
+    found = common.stored(fingerprints(numbered, shingle, key), "fingerprints")
+    _, component = linked(found, distance, blocks, tile)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", key)).alias("first")
+    kept = found.join(component, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(first).select(f"first.{key}")
+    return numbered.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
