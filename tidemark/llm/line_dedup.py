@@ -34,6 +34,8 @@ FILTER_BITS = 1 << 26
 FILTER_HASHES = 3
 BLOCK_BYTES = 1 << 20
 APART = 3
+#: Columns that dedup_lines adds.
+ADDED = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -205,7 +207,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_
     same chunks. Chunks that repeat inside one document count too. A line is removed if its last chunk is. Texts of any length are taken whole; an empty table
     gives no rows.
     """
-    extra = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
+    extra = ADDED
     base = docs.drop(*extra)
     gone = repeated_chunks(docs, min_words, bits)
     names, marks = base.columns, common.unused(base.columns, "remove")
