@@ -43,6 +43,27 @@ def test_awkward_rows(spark, least, segment):
     assert {r.payload.decode() for r in got.collect() if r.payload is not None} == {h or "" for _, _, h in rows}
 
 
+@pytest.mark.parametrize("rows", [0, 500_000])
+def test_revisits_name_real_records(spark, monkeypatch, rows):
+    """Every WARC-Refers-To is the WARC-Record-ID of a response with the same digest; identifiers are unlike each other."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
+    files = warc.write_pages(pages(spark), common.fresh_dir(spark, "warc"), segment_bytes=1000).collect()
+    found = []
+    for f in files:
+        with open(f.path.removeprefix("file://"), "rb") as source:
+            found += list(warc.records(source))
+    ids = {f["warc-record-id"]: f for f, _ in found}
+    assert len(ids) == len(found)
+    revisits = [f for f, _ in found if f["warc-type"] == "revisit"]
+    assert len(revisits) == 3
+    for f in revisits:
+        first = ids[f["warc-refers-to"]]
+        assert first["warc-type"] == "response" and first["warc-payload-digest"] == f["warc-payload-digest"]
+    for f, _ in found:
+        if f["warc-type"] == "continuation":
+            assert ids[f["warc-segment-origin-id"]]["warc-segment-number"] == "1"
+
+
 def test_empty_table(spark):
     assert warc.read_pages(warc.write_pages(pages(spark, []), common.fresh_dir(spark, "warc"))).count() == 0
 

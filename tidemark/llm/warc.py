@@ -10,8 +10,8 @@ read_pages() parses every file in tasks, groups continuation records by their or
 verifies the total length, and decodes the chunked framing. Only segments of divided records are shuffled; a group is
 one record.
 
-Equal payloads are found by a count over digests, summed before the shuffle, and a join that Spark splits where a
-digest is frequent; so one payload may hold a third of all pages.
+Equal payloads are found by a count over digests, summed before the shuffle, and a join of keys that Spark splits where
+a digest is frequent; so one payload may hold a third of all pages.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,10 @@ from tidemark.llm.spans import binary_list
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
-#: Compressed bytes that a reader takes at a time; what lies behind a record's end is taken again.
+#: Compressed bytes that a reader takes at a time.
 WINDOW_BYTES = 4 << 10
+#: So many revisits are told to all tasks; beyond that pages are joined with them by a shuffle.
+BROADCAST_ROWS = 500_000
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 FILES = "path string, records long"
@@ -68,17 +71,17 @@ def _record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(named fields in lower case, block) of every record of a gzip-per-record file."""
-    view, at = memoryview(data), 0
-    while at < len(data):
+def records(source: IO[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(named fields in lower case, block) of every record of a gzip-per-record file, read by windows."""
+    fed = source.read(WINDOW_BYTES)
+    while fed:
         reader, parts = zlib.decompressobj(31), []
         while not reader.eof:
-            fed = view[at : at + WINDOW_BYTES]
-            if not len(fed):
+            if not fed:
                 raise ValueError("a record is cut short")
             parts.append(reader.decompress(fed))
-            at += len(fed) - len(reader.unused_data)
+            fed = reader.unused_data if reader.eof else source.read(WINDOW_BYTES)
+        fed = fed or source.read(WINDOW_BYTES)
         record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
@@ -89,30 +92,42 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, rest[:size]
 
 
-def _page_records(page_id: int | None, serial: str, url: str | None, payload: bytes, first: int | None, segment_bytes: int) -> Iterator[bytes]:
-    """The record of a page and its continuations."""
-    name = f"<urn:page:{serial}>"
+def record_id(page_id: int | None, row: str) -> str:
+    """Identifier of a page's record: all rows of a response's page_id and payload share a digest, so a revisit can name its first."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{row}>"
+
+
+def _page_records(page_id: int | None, row: str, url: str | None, payload: bytes, first: tuple[int, str] | None, segment_bytes: int) -> Iterator[bytes]:
+    """The record of a page and its continuations; first is the page_id and the row of the response that a revisit names."""
+    name = record_id(page_id, row)
     target = " ".join((url or "about:blank").split())
     digest = "sha1:" + base32_sha1(payload)
     common_fields = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest), ("WARC-Page-ID", page_id), ("Content-Type", "application/http; msgtype=response")]
     if first is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield _record([("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}>"), *common_fields], block)
+        yield _record([("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(*first)), *common_fields], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[a : a + segment_bytes] for a in range(0, len(block), segment_bytes)]
     yield _record([("WARC-Type", "response"), *common_fields, ("WARC-Segment-Number", 1 if len(parts) > 1 else None)], parts[0])
     for k, part in enumerate(parts[1:], 2):
         last = len(block) if k == len(parts) else None
-        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{serial}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", last)], part)
+        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"{name[:-1]}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", last)], part)
 
 
 def with_first(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with __first: the least page_id of the same payload where this page isn't that one."""
-    keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), common.text_bytes("html").alias("payload")).withColumn("__sha", F.sha2("payload", 256)).withColumn("__long", F.length("payload") >= least_bytes)
-    first = keyed.filter("__long AND page_id IS NOT NULL").groupBy("__sha").agg(F.min("page_id").alias("__least"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    joined = keyed.join(first, "__sha", "left")
-    return joined.select("page_id", "url", "payload", F.when(F.col("page_id") > F.col("__least"), F.col("__least")).alias("__first"))
+    """pages (page_id, url, html) with __row, a key of its own, and __first, page_id and key of the response where this is a revisit.
+
+    Payloads stay where they are: only digests are counted, and only the revisits' keys come back to the pages.
+    """
+    keyed = common.stored(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), common.text_bytes("html").alias("payload")).withColumn("__row", F.monotonically_increasing_id()), "warc-pages")
+    digests = common.stored(keyed.filter(F.col("page_id").isNotNull() & (F.length("payload") >= least_bytes)).select("__row", "page_id", F.unhex(F.sha2("payload", 256)).alias("__sha")), "warc-digests")
+    # stored, so that Spark splits the join at a frequent payload
+    first = common.stored(digests.groupBy("__sha").agg(F.min(F.struct("page_id", "__row")).alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n"), "warc-first")
+    again = common.stored(digests.join(first, "__sha").filter(F.col("page_id") > F.col("__first.page_id")).select("__row", "__first"), "warc-again")
+    if again.count() <= BROADCAST_ROWS:  # three longs a row
+        again = F.broadcast(again)
+    return keyed.join(again, "__row", "left")
 
 
 def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -133,15 +148,14 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0, segment_byt
         number = task.partitionId()
         names = [f"pages-{number:06d}.warc.gz", f"pages-{number:06d}-more.warc.gz"]
         own = [f"{root}/.{n}-{task.taskAttemptId()}" for n in names]
-        counts, row = [0, 0], 0
+        counts = [0, 0]
         with where.open_output_stream(own[0], compression=None) as a, where.open_output_stream(own[1], compression=None) as b:
             for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in ("page_id", "url")]
-                for page_id, url, payload, first in zip(*columns, binary_list(batch.column("payload")), batch.column("__first").to_pylist(), strict=True):
-                    for k, record in enumerate(_page_records(page_id, f"{page_id}:{number}.{row}", url, payload, first, segment_bytes)):
+                columns = [batch.column(c).to_pylist() for c in ("page_id", "__row", "url", "__first")]
+                for page_id, row, url, first, payload in zip(*columns, binary_list(batch.column("payload")), strict=True):
+                    for k, record in enumerate(_page_records(page_id, str(row), url, payload, first and (first["page_id"], str(first["__row"])), segment_bytes)):
                         (b if k else a).write(record)
                         counts[k > 0] += 1
-                    row += 1
         for temporary, name in zip(own, names, strict=True):
             where.move(temporary, f"{root}/{name}")
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{n}" for n, c in zip(names, counts, strict=True) if c], "records": [c for c in counts if c]})
@@ -159,17 +173,17 @@ def read_records(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 where, name = fs.FileSystem.from_uri(path)
-                with where.open_input_file(name) as source:
-                    data = source.read()
                 rows, size = [], 0
-                for f, block in records(data):
+                source = where.open_input_stream(name, compression=None, buffer_size=1 << 20)
+                for f, block in records(source):
                     page = f.get("warc-page-id")
                     refers = f.get("warc-refers-to")
-                    rows.append({"origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "number": int(f.get("warc-segment-number", 0)), "total": int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, "kind": f["warc-type"], "page_id": int(page) if page else None, "refers_to": int(refers[10:-1]) if refers else None, "digest": f.get("warc-payload-digest"), "block": block})
+                    rows.append({"origin": f.get("warc-segment-origin-id", f["warc-record-id"]), "number": int(f.get("warc-segment-number", 0)), "total": int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, "kind": f["warc-type"], "page_id": int(page) if page else None, "refers_to": int(refers.split(":")[2]) if refers else None, "digest": f.get("warc-payload-digest"), "block": block})
                     size += len(block)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows, size = [], 0
+                source.close()
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     n = max(1, files.count())
@@ -184,11 +198,18 @@ def reassemble(found: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         *[F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in ("kind", "page_id", "refers_to", "digest")],
     )
-    block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    numbered = F.transform("s", lambda x: x["number"]) == F.sequence(F.lit(1), F.size("s"))
-    joined = parts.withColumn("block", block).withColumn("ok", numbered & F.col("total").eqNullSafe(F.length("block").cast("long")))
-    fault = F.raise_error(F.concat(F.lit("segments are missing of "), F.col("origin")))
-    return whole.unionByName(joined.select("kind", "page_id", "refers_to", "digest", F.when(F.col("ok"), F.col("block")).otherwise(fault.cast("binary")).alias("block")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for origin, segments, total in zip(*[batch.column(c).to_pylist() for c in ("origin", "s", "total")], strict=True):
+                block = b"".join(x["block"] for x in segments)
+                if [x["number"] for x in segments] != list(range(1, len(segments) + 1)) or total != len(block):
+                    raise ValueError(f"segments are missing of {origin}")
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("kind", "page_id", "refers_to", "digest")], pa.array(out, pa.binary())], ["kind", "page_id", "refers_to", "digest", "block"])
+
+    return whole.unionByName(parts.mapInArrow(run, "kind string, page_id long, refers_to long, digest string, block binary"))
 
 
 def read_pages(files: DataFrame) -> DataFrame:
