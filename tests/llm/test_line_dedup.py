@@ -77,3 +77,10 @@ def test_boundaries_survive_insertion():
     body = lambda text: {c.block.raw[a:b] for c in [d.chunk([text.encode()])] for a, b in zip(c.start, c.content)}
     shared = "".join(f"Sentence {k} says {k * k}. " for k in range(200))
     assert len(body(shared) & body("Something new first. And more! " + shared)) >= len(body(shared)) - 3
+
+
+def test_join_on_hashes_where_a_filter_would_be_too_large(spark, small):
+    docs = cases.table(spark, small, "documents").select("doc_id", "text")
+    check(spark, [(r.doc_id, r.text) for r in docs.collect()], docs, bits=0)
+    check(spark, cases.ROWS, cases.docs(spark), bits=0)
+    assert d.dedup_lines(cases.docs(spark, []), bits=0).count() == 0

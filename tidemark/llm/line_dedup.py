@@ -10,7 +10,8 @@ what follows them, up to min_words words, such a line's within the line; the oth
 removed chunk. What is removed stands whole at the first place.
 
 Two passes over the text: the first shuffles chunk hashes alone, counted before the shuffle. Repeated hashes become a
-Bloom filter of fixed size. The second pass takes the text of chunks that pass the filter and groups it: equal groups
+Bloom filter, sized by their count; where it would be larger than FILTER_BITS, the hashes of all chunks are joined with
+the repeated ones instead. The second pass takes the text of chunks that pass the filter and groups it: equal groups
 are equal bytes, and what the filter let through by chance stands alone there. A passage that a third of all documents
 share is summed up in each task first, and the joins after that are ones that Spark splits where keys are skewed.
 """
@@ -30,7 +31,8 @@ from tidemark.llm import common
 from tidemark.llm.spans import _MASK, Block, binary_list, blocks, runs
 
 MIN_WORDS = 10
-FILTER_BITS = 1 << 26
+#: Bits of the largest Bloom filter, and bits a hash.
+FILTER_BITS, BITS_A_HASH = 1 << 28, 16
 FILTER_HASHES = 3
 BLOCK_BYTES = 1 << 20
 APART = 3
@@ -146,6 +148,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64("text"))
 
 
+def _candidates(docs: DataFrame, repeated: DataFrame, min_words: int, most_bits: int) -> DataFrame:
+    """(__id, __th, number, long, chunk) of all chunks with a repeated hash, and of those few that a filter lets through by chance."""
+    keyed = _keyed(docs).select("__id", "__th", "text")
+    wanted = BITS_A_HASH * repeated.count()
+    bits = 1 << max(16, (max(1, wanted) - 1).bit_length())
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(repeated, bits)) if wanted <= most_bits else None
+
+    def texts(batch: pa.RecordBatch, c: Chunks, picked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, hashes, long, raw = batch.column("__id"), batch.column("__th"), (c.lines >= 2) & (c.words >= min_words), c.block.raw
+        for a in range(0, len(picked), 8192):
+            at = picked[a : a + 8192]
+            owner = pa.array(c.owner[at])
+            text = [raw[x:y] for x, y in zip(c.start[at].tolist(), c.content[at].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.take(owner), hashes.take(owner), pa.array(c.number[at].astype(np.int32)), pa.array(long[at]), pa.array([t[1:] if t[:1] == b" " else t for t in text], pa.binary())], ["__id", "__th", "number", "long", "chunk"])
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint64)
+        for batch, c in _batches(batches, min_words):
+            places = np.stack([np.mod(_spark_hash(c.hash, k), bits) for k in range(FILTER_HASHES)])
+            yield from texts(batch, c, np.flatnonzero(np.all((table[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1), axis=0)))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, c in _batches(batches, min_words):
+            owner = pa.array(c.owner)
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(owner), batch.column("__th").take(owner), pa.array(c.number.astype(np.int32)), pa.array(c.hash.view(np.int64))], ["__id", "__th", "number", "h"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, c in _batches(batches, min_words):
+            first = np.searchsorted(c.owner, np.arange(batch.num_rows))
+            numbers = batch.column("numbers").to_pylist()
+            yield from texts(batch, c, np.concatenate([a + np.sort(np.array(n or [], np.int64)) for a, n in zip(first, numbers, strict=True)] or [first]))
+
+    out = "__id long, __th long, number int, long boolean, chunk binary"
+    if shared:
+        return keyed.mapInArrow(filtered, out)
+    places = common.stored(keyed.mapInArrow(numbered, "__id long, __th long, number int, h long"), "line-places")
+    numbers = places.join(repeated, "h").groupBy("__id", "__th").agg(F.collect_set("number").alias("numbers")).select(F.col("__id").alias("i"), F.col("__th").alias("t"), "numbers")
+    return keyed.join(numbers, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t"))).select("__id", "__th", "text", "numbers").mapInArrow(joined, out)
+
+
 def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_BITS) -> DataFrame:
     """(__id, __th, remove): numbers of the chunks of each document that stand elsewhere and earlier; long ones are positive.
 
@@ -153,27 +195,8 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FIL
     """
     counted = _hashes(docs, min_words).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     counted = common.stored(counted, "repeated-lines")
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(counted, bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(shared.value, np.uint64)
-        for batch, c in _batches(batches, min_words):
-            ids, hashes = batch.column("__id"), batch.column("__th")
-            places = np.stack([batch_places(c.hash, k) for k in range(FILTER_HASHES)])
-            maybe = np.flatnonzero(np.all((table[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1), axis=0))
-            long = (c.lines >= 2) & (c.words >= min_words)
-            for a in range(0, len(maybe), 8192):
-                at = maybe[a : a + 8192]
-                owner = pa.array(c.owner[at])
-                raw = c.block.raw
-                text = [raw[x:y] for x, y in zip(c.start[at].tolist(), c.content[at].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.take(owner), hashes.take(owner), pa.array(c.number[at].astype(np.int32)), pa.array(long[at]), pa.array([t[1:] if t[:1] == b" " else t for t in text], pa.binary())], ["__id", "__th", "number", "long", "chunk"])
-
-    def batch_places(h: np.ndarray, k: int) -> np.ndarray:
-        return np.mod(_spark_hash(h, k), bits)
-
-    found = _keyed(docs).select("__id", "__th", "text").mapInArrow(run, "__id long, __th long, number int, long boolean, chunk binary")
-    found = common.stored(found, "line-candidates")
+    found = common.stored(_candidates(docs, counted, min_words, bits), "line-candidates")
+    common.forget(docs.sparkSession, counted)
     place = F.struct(F.coalesce("__id", F.lit(-(2**63))).alias("a"), F.col("__th").alias("b"), F.col("number").alias("c"))
     # stored, so that both sides of the join below are plain exchanges, which Spark splits at a frequent chunk
     first = common.stored(found.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "line-first")
