@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -107,3 +108,23 @@ def test_token_files_awkward_rows(spark):
 def test_token_files_query(spark, small):
     docs = cases.table(spark, small, "documents")
     _files(spark, docs, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_other_rules_are_encoded_whole(spark, tmp_path):
+    """A file whose split rules are not the known ones: pieces would give wrong ids, so the library takes whole texts."""
+    rules = json.loads(open(tokens.public_path(FILES[1])).read())
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules))
+    assert tokens.PieceEncoder(tokens.public_path(FILES[1])).cuts and tokens.PieceEncoder(tokens.public_path(FILES[0])).cuts
+    encoder = tokens.PieceEncoder(str(path))
+    assert not encoder.cuts
+    texts = ["Alpha beta, gamma's", "", "x"]
+    flat, counts = encoder.encode([t.encode() for t in texts], 7)
+    want = [[*encoder._library.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+    assert flat.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    with pytest.raises(Exception, match="write them wide"):
+        token_files.write_token_files(cases.docs(spark), common.fresh_dir(spark, "arrow"), tokens.public_path(FILES[1]), end_id=70_000)

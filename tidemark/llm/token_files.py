@@ -1,4 +1,4 @@
-"""Token ids in Arrow stream files: fixed-size-list batches that a reader maps without copying.
+"""Token ids in Arrow stream files: fixed-size-list batches that a reader maps without copying; masks take a bit an id.
 
 Documents are dealt by ranges of doc_id and sorted, so the files in order hold all documents in ascending doc_id order.
 A file is one id stream cut into rows of row_length ids (column ids) with a mask of the same shape; only its last row is
@@ -87,8 +87,9 @@ class TokenFile:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, row_length: int = ROW_LENGTH, rows_per_batch: int = ROWS_PER_BATCH, wide: bool = False) -> DataFrame:
     """Write docs (doc_id, text; other columns are left out) under folder; return the stored list of files.
 
-    Null and empty texts hold the end id alone. Rows that share a doc_id stay separate, in the order of their texts;
-    a null doc_id comes first. An empty table writes no ids. ids are 16-bit unless wide. A task writes under a name of
+    Null and empty texts hold the end id alone. Rows that share a doc_id stay separate, in the order of a hash of their texts, and may lie in several files;
+    a null doc_id comes first. An empty table writes no ids. ids are 16-bit unless wide; a vocabulary that needs more is an
+    error then. A task writes under a name of
     its own attempt and renames at the end, so a repeated task leaves whole files.
     """
     dtype = np.uint32 if wide else np.uint16
@@ -102,7 +103,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         where.create_dir(root, recursive=True)
         name = f"{root}/part-{task.partitionId():06d}.arrow"
         own = f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        encode = tokens.encoder(tokenizer_path).encode
+        known = tokens.encoder(tokenizer_path)
+        if max(known.vocabulary - 1, end_id) > np.iinfo(dtype).max:
+            raise ValueError(f"{known.vocabulary} ids do not fit into {np.dtype(dtype).name}: write them wide")
+        encode = known.encode
         doc_ids: list = []
         lengths: list[np.ndarray] = []
         with where.open_output_stream(own) as sink:
@@ -123,7 +127,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             where.move(own + end, name + end)
         yield pa.RecordBatch.from_pydict({"file_no": [task.partitionId()], "path": [f"{folder}/part-{task.partitionId():06d}.arrow"], "n_docs": [len(doc_ids)], "n_ids": [int(counts.sum())]})
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return common.stored(dealt.mapInArrow(run, MANIFEST), "token-files")
 
 

@@ -4,11 +4,12 @@ Both supported files split text before any merge: at white space, and between a
 lies between two such places is encoded alike wherever it stands. So texts are cut there, each distinct piece is
 encoded once through the tokenizers library, and the ids are laid out by a gather. A piece that is one word goes
 straight to the library's merge model; any other goes through its whole chain. The ids equal those of the whole text;
-tests/llm/test_tokens.py holds the two against each other.
+tests/llm/test_tokens.py holds the two against each other. A file with other rules is encoded text by text by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -36,6 +37,25 @@ _MARK[48:58] = _MARK[39] = False
 _WORD = re.compile(rb"[ \n]?((?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)")
 
 
+#: Rules of normalising and splitting that allow those cuts, as the tokenizers library writes them; fixed values.
+_KNOWN_RULES = [
+    (
+        None,
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+    ),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+]
+
+
 def _byte_symbols() -> str:
     """The character that stands for each byte in byte-level vocabularies: itself if printable, else 256 and up."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -50,6 +70,11 @@ class PieceEncoder:
 
         self._library = Tokenizer.from_file(path)
         self._model = self._library.model
+        rules = json.loads(self._library.to_str())
+        special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in rules["added_tokens"])
+        #: Whether texts may be cut into pieces.
+        self.cuts = special and rules["model"]["type"] == "BPE" and not rules["model"]["dropout"] and (rules["normalizer"], rules["pre_tokenizer"]) in _KNOWN_RULES
+        self.vocabulary = self._library.get_vocab_size()
         self._symbols = dict(enumerate(_byte_symbols()))
         ids = lambda x: self._library.encode(x, add_special_tokens=False).ids
         self._folds, self._drops_space = ids("A") == ids("a"), ids("\n a") == ids("a")
@@ -91,6 +116,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by end_id, and the number of ids of each text."""
+        if not self.cuts:
+            found = [[*e.ids, end_id] for e in self._library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for one in found for i in one), np.uint32, int(counts.sum())), counts
         if len(self._known) > KEPT_PIECES:
             self._clear()
         block = Block(texts, b"\n")
