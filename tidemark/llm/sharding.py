@@ -7,7 +7,7 @@ shards as many move one way as come back or as the target's quota has room for.
 
 At the end every shard takes exactly its share: `rows` law, counts at most one apart. Linked documents beyond the share
 and all unlinked ones fill the remaining places. Places come from a rank that is counted in buckets of a hash and summed
-over a table of fixed size, so nothing is sorted in one task.
+over a table of bounded size, so nothing is sorted in one task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from tidemark.llm import common
 
 SHARDS = 16
 ROUNDS = 3
-BUCKETS = 1024
+#: Rows of a label are ranked in buckets: as many as a bucket of BUCKET_ROWS needs, between these bounds.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 10, 1 << 16
 
 
 def _moves(state: DataFrame, hubs: DataFrame, shards: int, quota: int) -> dict[tuple[int, int], float]:
@@ -61,9 +62,9 @@ def propagate(linked: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
     return state
 
 
-def _ranked(rows: DataFrame, label: str, order: list[str]) -> DataFrame:
+def _ranked(rows: DataFrame, label: str, order: list[str], total: int) -> DataFrame:
     """rows with rank: 0, 1, ... within each label, in the order of a hash bucket and then of the order columns."""
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(min(max(total // BUCKET_ROWS, LEAST_BUCKETS), MOST_BUCKETS))).cast("int"))
     before = F.sum("n").over(Window.partitionBy(label).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = rows.groupBy(label, "bucket").agg(F.count("*").alias("n")).select(label, "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy(label, "bucket").orderBy(*order)) - 1
@@ -75,7 +76,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
 
     docs needs doc_id and text; other columns are left out. Size is the text's UTF-8 bytes plus 1; a null text has size
     1 and crc32 of no bytes, and all null texts are one group, apart from empty ones. Repeated rows are documents each
-    for itself. Fewer documents than shards leave shards empty; an empty table gives no rows.
+    for itself. Fewer documents than shards leave shards empty; an empty table gives no rows. Which shard a document gets
+    depends on its place in the input's files: another layout of the same rows gives other shards under the same law.
     """
     text = common.text_bytes()
     group = F.concat_ws(":", F.sha2(text, 256), F.col("text").isNull().cast("string"))
@@ -92,7 +94,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     linked = rows.join(groups, ["g", "missing"]).select("key", F.xxhash64("g", "missing", F.pmod(F.xxhash64("key"), parts)).alias("hub"))
     state = propagate(linked, shards, quota, rounds)
     labelled = rows.join(state.select("key", "shard"), "key", "left").select("doc_id", "size", "text_crc32", "key", F.coalesce("shard", F.lit(shards)).alias("label"))
-    ranked = common.stored(_ranked(labelled, "label", ["key"]), "shard-ranks")
+    ranked = common.stored(_ranked(labelled, "label", ["key"], total), "shard-ranks")
     held = {r.label: r.n for r in ranked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     return _placed(ranked, held, total, shards)
 
