@@ -231,3 +231,48 @@ def test_the_rest_works_without_the_training_data_folder(spark):
 
     assert contract.entry(spark).count() == 60
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("intent,key,entry,exit_", [
+    ("accepted", "k", "entry_submitted", "exit_submitted"), ("reconciled", "k", "entry_submitted", "exit_submitted"), ("terminal_verified", "k", "entry_submitted", "exit_submitted"),
+    ("review_closed", "k", "manual_review", "manual_review"), ("uncertain", "k", "manual_review", "manual_review"), ("dispatching", "k", "manual_review", "manual_review"),
+    ("blocked_before_dispatch", "k", "entry_unfilled", "long"), ("rejected", "k", "entry_unfilled", "long"), ("previewed", None, "entry_unfilled", "long"), ("previewed", "", "entry_unfilled", "long"), (None, None, "manual_review", "manual_review"),
+])
+def test_recovery_of_each_intent_status(spark, intent, key, entry, exit_):
+    held = spark.createDataFrame([("e", "entry_submitted", "i", None, 0), ("x", "exit_submitted", None, "i", 4), ("last", "exit_submitted", None, "i", 5), ("none", "entry_submitted", None, None, 0), ("lost", "exit_submitted", None, None, 1), ("l", "long", "i", None, 0), ("m", "manual_review", "i", None, 0)], "position_id string, status string, entry_intent_id string, exit_intent_id string, exit_attempts int")
+    intents = spark.createDataFrame([("i", intent, key)] if intent else [], "intent_id string, intent_status string, commit_key string")
+    got = {r.position_id: (r.outcome, r.exit_attempts) for r in state.recovery(held, intents).collect()}
+    unsent = intent is not None and not key
+    refused = intent in state.NOTHING_SENT
+    assert got["e"] == (entry, 0) and got["x"] == (exit_, 3 if unsent else 4)
+    assert got["last"] == ("manual_review" if refused else exit_, 4 if unsent else 5)
+    assert got["none"] == ("entry_unfilled", 0) and got["lost"] == ("manual_review", 1) and got["l"] == ("long", 0) and got["m"] == ("manual_review", 0)
+
+
+def test_training_is_due(spark):
+    runs = [("done", 1, "2024-01-01 00:00:00", "2024-01-01 01:00:00", "completed"), ("failed", 2, "2024-01-01 00:00:00", "2024-01-01 01:00:00", "failed"), ("runs", 3, "2024-01-01 00:00:00", None, "running"), ("just", 4, "2024-01-01 01:30:00", None, "running")]
+    table = spark.createDataFrame(runs, "scope string, run_id long, started_at string, finished_at string, status string").selectExpr("scope", "run_id", "cast(started_at AS timestamp_ntz) AS started_at", "cast(finished_at AS timestamp_ntz) AS finished_at", "status")
+    scopes = spark.createDataFrame([(s,) for s in ("done", "failed", "runs", "just", "never")], "scope string")
+    due = lambda at: {r.scope for r in state.due_runs(table, at, scopes=scopes).filter("due").collect()}
+    assert due("2024-01-01 02:00:00") == {"failed", "runs", "never"} and due("2024-01-02 01:00:00") == {"done", "failed", "runs", "just", "never"}
+
+
+def test_an_expired_newer_lease_does_not_hide_an_older_one(spark):
+    leases = [("m", 1, "a", 0, 100, 0), ("m", 1, "b", 10, 20, 1), ("m", 1, "c", 12, 40, None), ("m", 2, "d", 0, 99, 0), ("m", 1, "e", 50, 60, 50)]
+    stamp = lambda c: f"cast(timestampadd(MINUTE, {c}, timestamp'2024-01-01') AS timestamp_ntz) AS {c}"
+    table = spark.createDataFrame(leases, "model string, generation int, lease_id string, issued int, until int, applied int").selectExpr("model", "generation", "lease_id", stamp("issued"), stamp("until"), stamp("applied"))
+    asked = spark.createDataFrame([("m", 1, k, k) for k in (0, 10, 15, 20, 55, 60, 100)] + [("m", 3, 200, 15)], "model string, generation int, row_id int, at int").selectExpr("model", "generation", "row_id", stamp("at"))
+    got = {r.row_id: r.lease_id for r in state.lease_at(asked, table, ["model", "generation"], "at", "issued", "until", "lease_id", "applied").collect()}
+    assert got == {0: "a", 10: "b", 15: "b", 20: "a", 55: "e", 60: "a", 100: None, 200: None}
+
+
+def test_faults_of_exits(spark):
+    entry = ("p", "1", "1", "100", "0", "")
+    assert position(spark, entry, [("p", 1, "0.5", "101", "-0.1", "USDT"), ("p", 2, "0.2", "101", "-0.1", "BTC")]).reason == "fee_unit_changed"
+    assert position(spark, entry, [("p", 1, "0.5", "0", "0", "")]).reason == "average_missing"
+    assert position(spark, entry, [("p", 1, "0.5", "101", "-0.1", "USDT"), ("p", 2, "0.2", "101", "0", "BTC"), ("p", 3, "0.3", "101", "-0.1", "USDT")]).status == "closed"
+
+
+def test_active_positions(spark):
+    table = spark.createDataFrame([("a", "closed_dust"), ("a", "long"), ("b", "long"), ("b", "manual_review"), ("c", "closed"), ("c", "entry_unfilled")], "scope string, status string")
+    assert [r.scope for r in positions.several_active(table, "scope").collect()] == ["b"]

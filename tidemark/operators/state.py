@@ -7,11 +7,13 @@ enforce by a constraint is a query that must return no rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.functions import values as V
+from tidemark.operators.machines import carried, moved
 from tidemark.sources.bars import keep_last
 
 
@@ -60,24 +62,20 @@ def daily_cap(entries: DataFrame, by: Sequence[str], at: str, order: Sequence[st
 def within_budget(claims: DataFrame, by: Sequence[str], order: Sequence[str], amount: str, most: int, total: str) -> DataFrame:
     """claims with accepted, used_count, used_amount: each is accepted if count and amount then still fit, in order.
 
-    A claim that does not fit leaves the budget as it is, so a later smaller one may fit. A budget is one permit's
-    claims: its accepted ones are at most `most`, and the fold over them carries two numbers and their flags.
+    A claim that does not fit leaves the budget as it is, so a later smaller one may fit. A task streams through a
+    permit's claims with two numbers.
     """
-    kind = "decimal(38,8)"
-    limit = F.lit(total).cast(kind)
-    rows = claims.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(amount).cast(kind).alias("__amount"), F.struct(*[c for c in claims.columns if c not in by]).alias("__row")))).alias("__rows"))
-    out = "array<struct<accepted:boolean,used_count:int,used_amount:decimal(38,8)>>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast(kind).alias("sum"), F.array().cast(out).alias("out"))
+    limit, exact = Decimal(total), f"__{amount}"
 
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["n"] < most) & (s["sum"] + x["__amount"] <= limit)
-        n = (s["n"] + fits.cast("int")).cast("int")
-        used = F.when(fits, s["sum"] + x["__amount"]).otherwise(s["sum"]).cast(kind)
-        return F.struct(n.alias("n"), used.alias("sum"), F.concat(s["out"], F.array(F.struct(fits.alias("accepted"), n.alias("used_count"), used.alias("used_amount")))).alias("out"))
+    def step(used: tuple[int, Decimal], values: tuple) -> tuple[tuple[int, Decimal], tuple]:
+        n, so_far = used
+        fits = values[0] is not None and n < most and so_far + values[0] <= limit
+        used = (n + 1, so_far + values[0]) if fits else used
+        return used, (fits, *used)
 
-    decided = rows.withColumn("__out", F.aggregate("__rows", start, step)["out"])
-    flat = decided.select(*by, F.inline(F.arrays_zip(F.col("__rows").alias("r"), F.col("__out").alias("o"))))
-    return flat.select(*by, "r.__row.*", "o.*")
+    added = StructType().add("accepted", "boolean").add("used_count", "integer").add("used_amount", "decimal(38,8)")
+    rows = claims.withColumn(exact, F.col(amount).cast("decimal(38,8)"))
+    return carried(rows, by, order, [exact], lambda: (0, Decimal(0)), step, added).drop(exact)
 
 
 def transitions(log: DataFrame, by: Sequence[str], order: Sequence[str], status: str, allowed: Sequence[tuple[str | None, str]]) -> DataFrame:
@@ -92,15 +90,8 @@ def transitions(log: DataFrame, by: Sequence[str], order: Sequence[str], status:
 
 def folded(log: DataFrame, by: Sequence[str], order: Sequence[str], event: str, start: str, moves: dict[tuple[str, str], str]) -> DataFrame:
     """State of each key after its events in order: moves[state, event] is the next state, any other event changes nothing."""
-    events = log.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(event).alias("__e")))).alias("__events"))
-
-    def step(state: Column, x: Column) -> Column:
-        out = state
-        for (before, what), after in moves.items():
-            out = F.when((state == before) & (x["__e"] == what), F.lit(after)).otherwise(out)
-        return out
-
-    return events.select(*by, F.aggregate("__events", F.lit(start), step).alias("state"), F.size("__events").cast("long").alias("events"))
+    seen = moved(log.select(*by, *order, F.col(event).alias("__e")), by, order, "__e", moves, start)
+    return seen.groupBy(*by).agg(F.max_by("after", F.struct(*order)).alias("state"), F.count("*").alias("events"))
 
 
 def sessions(beats: DataFrame, by: Sequence[str], at: str, gap_seconds: int) -> DataFrame:
@@ -109,19 +100,33 @@ def sessions(beats: DataFrame, by: Sequence[str], at: str, gap_seconds: int) ->
     return found.select(*by, F.col("w.start").alias("begin"), "last_beat", F.col("w.end").alias("until"), "beats")
 
 
-def lease_at(asked: DataFrame, leases: DataFrame, on: str, asked_at: str, issued: str, expires: str, lease_id: str) -> DataFrame:
-    """As-of join: asked rows with the last lease of the same key that was issued by then and has not run out.
+def lease_at(asked: DataFrame, leases: DataFrame, on: str | Sequence[str], asked_at: str, issued: str, expires: str, lease_id: str, applied_at: str | None = None) -> DataFrame:
+    """As-of join: asked rows with the newest lease that agrees in all columns on, was issued by then and has not run out.
 
-    Both sides are put in one order per key, and each asked row carries the last lease before it: one shuffle, and no
-    product of a key's rows. asked needs a column row_id. The lease that counts is the newest one, run out or not,
-    unless an older one lasts longer: leases of equal length cannot.
+    asked needs a column row_id. With applied_at only leases that have one count. A newer lease that has run out does not
+    hide an older live one. One shuffle, and no product of a key's rows: a task streams through a key in the order of time
+    and holds the leases that no newer one outlasts.
     """
-    left = asked.select(on, F.col(asked_at).alias("__at"), F.lit(1).alias("__kind"), F.col("row_id").alias("__row"), F.lit(None).cast(leases.schema[lease_id].dataType).alias("__lease"), F.lit(None).cast("timestamp_ntz").alias("__expires"))
-    right = leases.select(on, F.col(issued).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(asked.schema["row_id"].dataType).alias("__row"), F.col(lease_id).alias("__lease"), F.col(expires).cast("timestamp_ntz").alias("__expires"))
-    w = Window.partitionBy(on).orderBy("__at", "__kind", "__lease").rowsBetween(Window.unboundedPreceding, 0)
-    carried = left.unionByName(right).withColumn("__held", F.last(F.when(F.col("__kind") == 0, F.struct("__lease", "__expires")), ignorenulls=True).over(w))
-    live = F.col("__held.__expires") > F.col("__at")
-    return carried.filter("__kind = 1").select(on, F.col("__row").alias("row_id"), F.col("__at").alias(asked_at), F.when(live, F.col("__held.__lease")).alias(lease_id))
+    on = [on] if isinstance(on, str) else list(on)
+    valid = leases if applied_at is None else leases.filter(F.col(applied_at).isNotNull())
+    at = lambda c: F.col(c).cast("timestamp_ntz")
+    left = asked.select(*on, at(asked_at).alias("__at"), F.lit(1).alias("__kind"), F.col("row_id").alias("__row"), F.lit(None).cast(leases.schema[lease_id].dataType).alias("__lease"), F.lit(None).cast("timestamp_ntz").alias("__expires"))
+    right = valid.select(*on, at(issued).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(asked.schema["row_id"].dataType).alias("__row"), F.col(lease_id).alias("__lease"), at(expires).alias("__expires"))
+
+    def step(live: list[tuple], values: tuple) -> tuple[list[tuple], tuple]:
+        kind, now, lease, until = values
+        if kind == 0:
+            while live and live[-1][0] <= until:
+                live.pop()
+            return [*live, (until, lease)] if until is not None else live, (None,)
+        while live and live[-1][0] <= now:
+            live.pop()
+        return live, (live[-1][1] if live else None,)
+
+    added = StructType().add("__held", leases.schema[lease_id].dataType)
+    rows = left.unionByName(right)
+    found = carried(rows, on, ["__at", "__kind", "__lease"], ["__kind", "__at", "__lease", "__expires"], list, step, added)
+    return found.filter("__kind = 1").select(*on, F.col("__row").alias("row_id"), F.col("__at").alias(asked_at), F.col("__held").alias(lease_id))
 
 
 def safety_mode(log: DataFrame, by: Sequence[str], as_of: str, ttl_seconds: int) -> DataFrame:
@@ -138,12 +143,15 @@ def safety_mode(log: DataFrame, by: Sequence[str], as_of: str, ttl_seconds: int)
     return found.select(*by, F.when(killed, "killed").when(F.coalesce(armed, F.lit(False)), "armed").otherwise("observe").alias("mode"), "generation")
 
 
-def due_runs(runs: DataFrame, as_of: str, interval_hours: int = 24, retry_hours: int = 1) -> DataFrame:
-    """Last run of each key with due: a day after one that completed, an hour after one that failed, never while one runs."""
+def due_runs(runs: DataFrame, as_of: str, interval_hours: int = 24, retry_hours: int = 1, scopes: DataFrame | None = None) -> DataFrame:
+    """Last run of each key with due: a day after the end of one that completed, an hour after any other one's end or else start.
+
+    With scopes (one row a scope) also those without any run, which are due.
+    """
     last = latest_versions(runs, ["scope"], ["started_at", "run_id"])
-    hours = F.when(F.col("status") == "completed", interval_hours).when(F.col("status") == "failed", retry_hours)
+    hours = F.when(F.col("status") == "completed", interval_hours).otherwise(retry_hours)
     due = F.timestamp_add("HOUR", hours, F.coalesce("finished_at", "started_at")) <= F.lit(as_of).cast("timestamp_ntz")
-    return last.withColumn("due", F.coalesce(due, F.lit(False)))
+    return (last if scopes is None else scopes.select("scope").join(last, "scope", "left")).withColumn("due", F.coalesce(due, F.lit(True)))
 
 
 def preview_expired(column: str, as_of: str, ttl_seconds: int = 45) -> Column:
@@ -172,29 +180,35 @@ def matched_orders(pending: DataFrame, intents: DataFrame, key: str) -> DataFram
     return left.join(right, key, "full_outer").select(key, outcome.alias("outcome"))
 
 
-def recovery(positions: DataFrame, intents: DataFrame) -> DataFrame:
+#: States of an intent after which a restart leaves its position as it is, and those that prove that nothing was sent.
+SETTLED = ("accepted", "reconciled", "terminal_verified")
+NOTHING_SENT = ("blocked_before_dispatch", "rejected")
+
+
+def recovery(positions: DataFrame, intents: DataFrame, attempts: int = 5) -> DataFrame:
     """What becomes of unfinished positions after a restart, from the intent that each one waits for.
 
-    positions: position_id, status, entry_intent_id, exit_intent_id; intents: intent_id, intent_status, commit_key.
-    Only what proves that nothing was dispatched is undone by itself; all else asks for a person.
+    positions: position_id, status, entry_intent_id, exit_intent_id, exit_attempts (the one under way counts); intents:
+    intent_id, intent_status, commit_key. Only what proves that nothing was dispatched is undone by itself; all else asks
+    for a person. An exit that was refused counts as an attempt, and the last one asks for a person; one that was never
+    sent doesn't count.
     """
     wanted = F.when(F.col("status") == "entry_submitted", F.col("entry_intent_id")).otherwise(F.col("exit_intent_id"))
     joined = positions.withColumn("intent_id", wanted).join(intents, "intent_id", "left")
-    entry = F.col("status") == "entry_submitted"
-    undone = F.when(entry, "entry_unfilled").otherwise("long")
-    unsent = F.col("commit_key").isNull() & F.col("intent_status").isNotNull()
-    refused = F.col("intent_status").isin("blocked_before_dispatch", "rejected")
-    settled = F.col("intent_status").isin("terminal_verified", "review_closed")
+    waits, entry = F.col("status").isin("entry_submitted", "exit_submitted"), F.col("status") == "entry_submitted"
+    known = F.col("intent_status").isNotNull()
+    unsent, refused = waits & known & (F.coalesce("commit_key", F.lit("")) == ""), waits & known & F.col("intent_status").isin(*NOTHING_SENT)
+    spent = F.col("exit_attempts") >= attempts
     outcome = (
-        F.when(F.col("status") == "long", "long")
-        .when(F.col("status") == "manual_review", "manual_review")
-        .when(entry & F.col("intent_id").isNull(), "entry_unfilled")
-        .when(F.col("intent_status").isNull(), "manual_review")
-        .when(unsent | refused, undone)
-        .when(settled, F.col("status"))
+        F.when(~waits, F.col("status"))
+        .when(entry & (F.col("intent_id").isNull() | unsent | refused), "entry_unfilled")
+        .when(unsent, "long")
+        .when(refused, F.when(spent, "manual_review").otherwise("long"))
+        .when(F.col("intent_status").isin(*SETTLED), F.col("status"))
         .otherwise("manual_review")
     )
-    return joined.withColumn("outcome", outcome)
+    left = F.when(unsent & ~entry, F.greatest(F.col("exit_attempts") - 1, F.lit(0))).otherwise(F.col("exit_attempts"))
+    return joined.withColumn("outcome", outcome).withColumn("exit_attempts", left)
 
 
 def joined_latest(fresh: DataFrame, recovered: DataFrame, key: str, seen: str) -> DataFrame:

@@ -5,12 +5,14 @@ The tables orders, lineitem, customer and events stand in for models, reports, f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import documents as D
 from tidemark.functions import values as V
-from tidemark.operators import gates, integrity, positions, registry, state
+from tidemark.operators import gates, integrity, machines, positions, registry, state
 from tidemark.plans.series import r, stamped
 from tidemark.plans.sql import rounded as _R
 from tidemark.plans.sql import stamp as _S
@@ -142,10 +144,44 @@ def champion_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lease_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir)
-    leases = log.filter("event_type = 'signup'").select("user_id", "event_id", "ts", F.timestamp_add("HOUR", F.lit(36), "ts").alias("until"))
-    asked = log.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("row_id"), F.col("ts").alias("asked_at"))
-    return state.lease_at(asked, leases, "user_id", "asked_at", "ts", "until", "event_id").select("user_id", "row_id", F.col("event_id").alias("lease_id"))
+    """Leases last 12, 60 or 108 hours; a fifth was never applied; model and generation must agree."""
+    log = _log(spark, sf_dir).withColumn("model", F.col("user_id") % 50).withColumn("generation", F.col("user_id") % 2)
+    leases = log.filter("event_type IN ('signup', 'error')").withColumn("until", F.timestamp_add("HOUR", (F.col("event_id") % 3 * 48 + 12).cast("int"), "ts")).withColumn("applied_at", F.when(F.col("event_id") % 5 != 0, F.col("ts")))
+    asked = log.filter("event_type = 'purchase'").withColumnRenamed("event_id", "row_id").withColumnRenamed("ts", "asked_at")
+    return state.lease_at(asked, leases, ["model", "generation"], "asked_at", "ts", "until", "event_id", "applied_at").select("model", "generation", "row_id", F.col("event_id").alias("lease_id"))
+
+
+MACHINES = {"position_moves": machines.POSITION, "intent_moves": machines.INTENT, "execution_moves": machines.EXECUTION, "training_moves": machines.TRAINING, "model_moves": registry.MOVES}
+
+
+def _moves(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Events of seven things a user, named in turn after those of the machine."""
+    moves = MACHINES[name]
+    events = sorted({e for _, e in moves})
+    start = None if any(s is None for s, _ in moves) else "candidate"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        event = F.element_at(F.array(*[F.lit(e) for e in events]), (F.expr("event_id div 7") * 3 % len(events) + 1).cast("int"))
+        log = _log(spark, sf_dir).select(F.concat_ws("-", "user_id", F.col("event_id") % 7).alias("thing"), "event_id", event.alias("event"))
+        return machines.moved(log, ["thing"], ["event_id"], "event", moves, start)
+
+    return run
+
+
+def _moves_sql(name: str) -> str:
+    moves = MACHINES[name]
+    events = sorted({e for _, e in moves})
+    known = ", ".join(f"({'NULL' if s is None else repr(s)}, {e!r}, {a!r})" for (s, e), a in moves.items())
+    start = "CAST(NULL AS VARCHAR)" if any(s is None for s, _ in moves) else "'candidate'"
+    return f"""WITH RECURSIVE m(state, event, after) AS (VALUES {known}),
+e AS (SELECT concat(user_id, '-', event_id % 7) AS thing, event_id, {events!r}[event_id // 7 * 3 % {len(events)} + 1] AS event, row_number() OVER (PARTITION BY concat(user_id, '-', event_id % 7) ORDER BY event_id) AS k FROM events),
+run(thing, k, event_id, event, before, after, legal) AS (
+  SELECT e.thing, e.k, e.event_id, e.event, {start}, coalesce(m.after, {start}), m.after IS NOT NULL FROM e LEFT JOIN m ON m.state IS NOT DISTINCT FROM {start} AND m.event = e.event WHERE e.k = 1
+  UNION ALL SELECT e.thing, e.k, e.event_id, e.event, r.after, coalesce(m.after, r.after), m.after IS NOT NULL FROM run r JOIN e ON e.thing = r.thing AND e.k = r.k + 1 LEFT JOIN m ON m.state IS NOT DISTINCT FROM r.after AND m.event = e.event)
+SELECT thing, event_id, event, before, after, legal FROM run"""
+
+
+position_moves, intent_moves, execution_moves, training_moves, model_moves = map(_moves, MACHINES)
 
 
 def orders_without_fills_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,12 +222,13 @@ def crash_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     status = F.element_at(F.array(*[F.lit(x) for x in ("entry_submitted", "exit_submitted", "long", "manual_review")]), (k % 4 + 1).cast("int"))
     held = _orders(spark, sf_dir).select(k.alias("position_id"), status.alias("status"), F.when(k % 3 != 0, k).alias("entry_intent_id"), (k + 1).alias("exit_intent_id"))
-    names = {"1-URGENT": "rejected", "2-HIGH": "terminal_verified", "3-MEDIUM": "uncertain", "4-NOT SPECIFIED": "accepted"}
+    names = {"1-URGENT": "rejected", "2-HIGH": "terminal_verified", "3-MEDIUM": "review_closed", "4-NOT SPECIFIED": "accepted"}
     named = F.lit("blocked_before_dispatch")
     for priority, name in names.items():
         named = F.when(F.col("o_orderpriority") == priority, name).otherwise(named)
     intents = _orders(spark, sf_dir).filter("o_orderkey % 5 != 0").select(k.alias("intent_id"), named.alias("intent_status"), F.when(k % 7 != 0, k.cast("string")).alias("commit_key"))
-    return state.recovery(held, intents).select("position_id", "status", "outcome")
+    found = state.recovery(held.withColumn("exit_attempts", F.col("position_id") % 6), intents)
+    return found.select("position_id", "status", "outcome", "exit_attempts")
 
 
 def order_fill_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +315,8 @@ def safety_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "running").otherwise("completed")
     runs = _log(spark, sf_dir).select(F.col("user_id").alias("scope"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), F.timestamp_add("MINUTE", F.lit(5), "ts").alias("finished_at"), status.alias("status"))
-    return state.due_runs(runs, "2024-01-30 12:00:00").select("scope", "run_id", "status", "due")
+    scopes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope")).union(runs.select("scope")).distinct()
+    return state.due_runs(runs, "2024-01-30 12:00:00", scopes=scopes).select("scope", "run_id", "status", "due")
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,7 +352,7 @@ def review_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.review_pack(found, "scope").select("scope", "evidence_sha256", "pack_id")
 
 
-_NAMES = "promotion_gate_reasons shadow_gate_reasons challenger_vs_champion model_reviews risk_checks order_proposals model_list_topk audit_topk champion_promotions lease_asof orders_without_fills_anti orders_with_fills_semi distinct_identities dedup_latest idempotent_conflicts insert_outcomes pending_matched crash_recovery order_fill_accounting entry_positions realised_return daily_entry_cap permit_budget state_latest_version fsm_fold illegal_transitions idempotent_replay heartbeat_sessions safety_mode training_due audit_chain_verify report_binding redact_payload position_seal review_packs"
+_NAMES = "position_moves intent_moves execution_moves training_moves model_moves promotion_gate_reasons shadow_gate_reasons challenger_vs_champion model_reviews risk_checks order_proposals model_list_topk audit_topk champion_promotions lease_asof orders_without_fills_anti orders_with_fills_semi distinct_identities dedup_latest idempotent_conflicts insert_outcomes pending_matched crash_recovery order_fill_accounting entry_positions realised_return daily_entry_cap permit_budget state_latest_version fsm_fold illegal_transitions idempotent_replay heartbeat_sessions safety_mode training_due audit_chain_verify report_binding redact_payload position_seal review_packs"
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 
 _EVENT_ORDER = "(ts, event_id)"
@@ -338,9 +376,10 @@ FROM customer LEFT JOIN gate g ON g.model_id = c_custkey LEFT JOIN shadow s ON s
     "champion_promotions": f"""WITH own AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS generation FROM orders),
 last AS (SELECT o_custkey, max(generation) AS generation FROM own GROUP BY o_custkey)
 SELECT o.o_custkey AS scope, o.generation, o.o_orderkey AS model_id, {_S('o.o_orderdate')} AS promoted_at, CASE WHEN o.o_orderkey % 3 < 2 AND o.o_orderkey % 5 <> 0 THEN o.o_orderkey END AS decision_id FROM own o JOIN last l ON l.o_custkey = o.o_custkey AND l.generation = o.generation""",
-    "lease_asof": """WITH asked AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), leases AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup'),
-last AS (SELECT a.user_id, a.event_id, a.ts, arg_max(l.event_id, l.ts) AS lease_id, max(l.ts) AS issued FROM asked a LEFT JOIN leases l ON l.user_id = a.user_id AND l.ts <= a.ts GROUP BY ALL)
-SELECT user_id, event_id AS row_id, CASE WHEN issued + INTERVAL '36 hours' > ts THEN lease_id END AS lease_id FROM last""",
+    "lease_asof": """WITH l AS (SELECT user_id % 50 AS model, user_id % 2 AS generation, event_id, ts, ts + to_hours(CAST(event_id % 3 * 48 + 12 AS INTEGER)) AS until FROM events WHERE event_type IN ('signup', 'error') AND event_id % 5 <> 0)
+SELECT a.user_id % 50 AS model, a.user_id % 2 AS generation, a.event_id AS row_id, arg_max(l.event_id, (l.ts, l.event_id)) AS lease_id
+FROM events a LEFT JOIN l ON l.model = a.user_id % 50 AND l.generation = a.user_id % 2 AND l.ts <= a.ts AND l.until > a.ts WHERE a.event_type = 'purchase' GROUP BY a.user_id, a.event_id""",
+    **{name: _moves_sql(name) for name in MACHINES},
     "orders_without_fills_anti": "SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)",
     "orders_with_fills_semi": "SELECT o_orderkey, o_orderstatus FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)",
     "distinct_identities": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
@@ -351,9 +390,11 @@ SELECT user_id, event_id AS row_id, CASE WHEN issued + INTERVAL '36 hours' > ts
 SELECT coalesce(o.k, i.k) AS client_id, CASE WHEN i.k IS NULL THEN 'order_without_intent' WHEN o.k IS NULL THEN 'intent_without_order' ELSE 'matched' END AS outcome FROM o FULL JOIN i ON i.k = o.k""",
     "crash_recovery": """WITH held AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'entry_submitted' WHEN 1 THEN 'exit_submitted' WHEN 2 THEN 'long' ELSE 'manual_review' END AS status,
   CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END ELSE o_orderkey + 1 END AS intent FROM orders),
-intents AS (SELECT o_orderkey AS intent, CASE o_orderpriority WHEN '1-URGENT' THEN 'rejected' WHEN '2-HIGH' THEN 'terminal_verified' WHEN '3-MEDIUM' THEN 'uncertain' WHEN '4-NOT SPECIFIED' THEN 'accepted' ELSE 'blocked_before_dispatch' END AS s, o_orderkey % 7 <> 0 AS committed FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT h.id AS position_id, h.status, CASE WHEN h.status IN ('long', 'manual_review') THEN h.status WHEN h.status = 'entry_submitted' AND h.intent IS NULL THEN 'entry_unfilled' WHEN i.s IS NULL THEN 'manual_review'
-  WHEN NOT i.committed OR i.s IN ('rejected', 'blocked_before_dispatch') THEN CASE WHEN h.status = 'entry_submitted' THEN 'entry_unfilled' ELSE 'long' END WHEN i.s = 'terminal_verified' THEN h.status ELSE 'manual_review' END AS outcome
+intents AS (SELECT o_orderkey AS intent, CASE o_orderpriority WHEN '1-URGENT' THEN 'rejected' WHEN '2-HIGH' THEN 'terminal_verified' WHEN '3-MEDIUM' THEN 'review_closed' WHEN '4-NOT SPECIFIED' THEN 'accepted' ELSE 'blocked_before_dispatch' END AS s, o_orderkey % 7 <> 0 AS committed FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT h.id AS position_id, h.status, CASE WHEN h.status IN ('long', 'manual_review') THEN h.status
+  WHEN h.status = 'entry_submitted' THEN CASE WHEN h.intent IS NULL OR NOT i.committed OR i.s IN ('rejected', 'blocked_before_dispatch') THEN 'entry_unfilled' WHEN i.s IN ('accepted', 'terminal_verified') THEN h.status ELSE 'manual_review' END
+  WHEN NOT i.committed THEN 'long' WHEN i.s IN ('rejected', 'blocked_before_dispatch') THEN CASE WHEN h.id % 6 >= 5 THEN 'manual_review' ELSE 'long' END WHEN i.s IN ('accepted', 'terminal_verified') THEN h.status ELSE 'manual_review' END AS outcome,
+  CASE WHEN h.status = 'exit_submitted' AND NOT i.committed THEN greatest(h.id % 6 - 1, 0) ELSE h.id % 6 END AS exit_attempts
 FROM held h LEFT JOIN intents i ON i.intent = h.intent""",
     "order_fill_accounting": f"""WITH f AS (SELECT l_orderkey, CAST(l_quantity AS DECIMAL(18,4)) AS q, CAST(l_extendedprice AS DECIMAL(18,4)) AS p, CAST(-l_tax AS DECIMAL(18,4)) AS fee FROM lineitem)
 SELECT l_orderkey, count(*) AS fills, CAST(sum(q) AS DOUBLE) AS size, CAST(sum(q * p + fee) AS DOUBLE) AS proceeds, CAST(sum(q * p + fee) AS DOUBLE) / CAST(sum(q) AS DOUBLE) AS average FROM f GROUP BY l_orderkey""",
@@ -383,8 +424,9 @@ SELECT user_id, {_S('min(ts)')} AS begin, {_S('max(ts)')} AS last_beat, {_S("max
     "safety_mode": """WITH s AS (SELECT user_id, max(ts) FILTER (event_type = 'error') AS k, max(ts) FILTER (event_type = 'signup') AS c, max(ts) FILTER (event_type = 'purchase') AS a, count(*) FILTER (event_type = 'error') AS generation FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id)
 SELECT user_id, CASE WHEN k IS NOT NULL AND (c IS NULL OR c < k) THEN 'killed' WHEN a + INTERVAL '1 day' > TIMESTAMP '2024-01-15 00:00:00' AND (k IS NULL OR a > k) THEN 'armed' ELSE 'observe' END AS mode, generation FROM s""",
     "training_due": f"""WITH l AS (SELECT user_id, arg_max(event_id, {_EVENT_ORDER}) AS run_id, arg_max(event_type, {_EVENT_ORDER}) AS kind, max(ts) AS ts FROM events GROUP BY user_id)
-SELECT user_id AS scope, run_id, CASE kind WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE 'completed' END AS status,
-CASE WHEN kind = 'click' THEN false ELSE ts + INTERVAL '5 minutes' + CASE WHEN kind = 'error' THEN INTERVAL '1 hour' ELSE INTERVAL '24 hours' END <= TIMESTAMP '2024-01-30 12:00:00' END AS due FROM l""",
+SELECT s.scope, run_id, CASE kind WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' ELSE CASE WHEN kind IS NOT NULL THEN 'completed' END END AS status,
+coalesce(ts + INTERVAL '5 minutes' + CASE WHEN kind IN ('error', 'click') THEN INTERVAL '1 hour' ELSE INTERVAL '24 hours' END <= TIMESTAMP '2024-01-30 12:00:00', true) AS due
+FROM (SELECT user_id AS scope FROM events UNION SELECT c_custkey FROM customer) s LEFT JOIN l ON l.user_id = s.scope""",
     "audit_chain_verify": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, concat('|', {_S('ts')}, '|system|', event_type, '|', CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS VARCHAR) ELSE '' END, '|', props) AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
 run(user_id, k, h) AS (SELECT user_id, 0, repeat('0', 64) FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, sha256(r.h || e.body) FROM run r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1),
 last AS (SELECT user_id, max(k) AS events, arg_max(h, k) AS last_hash FROM run GROUP BY user_id)
