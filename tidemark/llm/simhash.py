@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
     both = common.stored(distinct.join(component, "fp"), "linked-fingerprints")
     # stored, so that Spark splits the join at a large component
     least = common.stored(both.groupBy("component").agg(F.min("rep").alias("least")), "components")
-    by_fp = distinct.join(both.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
+    # stored for the same reason: a large group of copies shares one fingerprint
+    by_fp = common.stored(distinct.join(both.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "component-ids")
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
