@@ -29,20 +29,34 @@ BLOCKS = 5
 TILE = 8192
 SEED = 42
 
+#: of wide fingerprints, for texts that share most of their shingles
+SIMILAR_WORDS = 5
+SIMILARITY = 0.8
+WORDS = 8
+BLOCK_BYTES = 2
+ONES = np.uint64(0x0101010101010101)
+STEPS = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-def _fingerprint(text: bytes, shingle: int) -> int:
+
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, in order; of a shorter text, of all its words; of none, nothing."""
     import xxhash
 
     words = text.lower().split()  # bytes: A to Z only, and the six ASCII spaces
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     size = min(shingle, len(words))
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     h = xxhash.xxh64_intdigest
     last = len(words) - size + 1
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, last)
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[size - 1 :].tolist(), strict=True)), np.uint64, last)
+
+
+def _fingerprint(text: bytes, shingle: int) -> int:
+    hashes = _hashes(text, shingle)
+    last = len(hashes)
     counts = np.zeros(64, np.int64)
     for a in range(0, last, 65536):  # bounded for very long texts
         bits = np.unpackbits(hashes[a : a + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -50,6 +64,26 @@ def _fingerprint(text: bytes, shingle: int) -> int:
     return int(sum(1 << k for k in np.flatnonzero(2 * counts > last).tolist()))
 
 
+def _wide_fingerprint(text: bytes, shingle: int) -> bytes:
+    """Majorities of WORDS x 64 bits that follow from each distinct shingle's hash; all zero without words."""
+    hashes = np.unique(_hashes(text, shingle))
+    counts = np.zeros((8, WORDS, 8), np.int64)
+    for a in range(0, len(hashes), 255):  # a byte holds the count of one bit over 255 hashes
+        x = hashes[a : a + 255, None] + STEPS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        for bit in range(8):
+            counts[bit] += ((x >> np.uint64(bit)) & ONES).sum(axis=0, dtype=np.uint64).astype("<u8").view(np.uint8).reshape(WORDS, 8)
+    return np.packbits(2 * counts > len(hashes), axis=0, bitorder="little").tobytes()
+
+
+def distance_of(similarity: float, bits: int = 64 * WORDS) -> int:
+    """Bits in which fingerprints of two equally long texts of this Jaccard similarity differ, and one deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str | None = None) -> DataFrame:
     """(doc_id, fp as a signed long) of every row, with the long column key if named; null and empty texts have fingerprint 0."""
     kept = ["doc_id", *([key] if key else [])]
@@ -74,6 +108,19 @@ def block_keys(fp: str, distance: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, each a 64-bit number or a row of them."""
+    bits = np.bitwise_count(x ^ y)
+    return bits.sum(axis=-1, dtype=np.int64) if bits.ndim > 1 or x.ndim > 1 else bits
+
+
+def _numbers(fps: pa.Array) -> np.ndarray:
+    """Fingerprints as 64-bit numbers; of binary ones, a row of numbers each."""
+    if pa.types.is_integer(fps.type):
+        return fps.to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.frombuffer(b"".join(fps.to_pylist()), "<u8").reshape(len(fps), -1)
+
+
 def _forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     """Spanning forest of the links among distinct fingerprints: (vertex, earlier vertex) index pairs."""
     left, a, b = np.arange(len(fps)), [], []
@@ -81,7 +128,7 @@ def _forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             now = front.pop()
-            near = np.bitwise_count(fps[left] ^ fps[now]) <= distance
+            near = _apart(fps[left], fps[now]) <= distance
             if near.any():
                 got = left[near].tolist()
                 a += got
@@ -93,13 +140,32 @@ def _forest(fps: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
 
 def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
     """Forest links (a, b) of representatives among distinct (fp, rep) rows that differ in at most distance bits."""
-    keyed = distinct.select("fp", "rep", F.explode(block_keys("fp", distance, blocks)).alias("k")).select("fp", "rep", F.col("k.choice").alias("choice"), F.col("k.bits").alias("bits"))
+    keyed = _keyed(distinct, block_keys("fp", distance, blocks))
     sizes = keyed.groupBy("choice", "bits").count().filter("count > 1")
+    return _joined(keyed.join(sizes, ["choice", "bits"]), distance, tile)
+
+
+def wide_links(distinct: DataFrame, distance: int, tile: int = TILE) -> DataFrame:
+    """As links(), of binary fingerprints that share a block of BLOCK_BYTES bytes: certain up to one bit less than blocks."""
+    size = F.length("fp") / BLOCK_BYTES
+    keys = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda k: F.struct(
+        k.alias("choice"), F.conv(F.hex(F.substring(F.col("fp"), k * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES))), 16, 10).cast("long").alias("bits")))
+    keyed = _keyed(distinct, keys)
+    # a key beyond a tile is rare, so only those are looked up; stored, so that Spark knows how many they are
+    hot = common.stored(keyed.groupBy("choice", "bits").count().filter(F.col("count") > tile), "hot-blocks")
+    return _joined(keyed.join(hot, ["choice", "bits"], "left").fillna(1, ["count"]), distance, tile)
+
+
+def _keyed(distinct: DataFrame, keys: Column) -> DataFrame:
+    return distinct.select("fp", "rep", F.explode(keys).alias("k")).select("fp", "rep", F.col("k.choice").alias("choice"), F.col("k.bits").alias("bits"))
+
+
+def _joined(sized: DataFrame, distance: int, tile: int) -> DataFrame:
+    """Forest links within every (choice, bits) of rows (fp, rep, choice, bits, count)."""
     parts = F.ceil(F.col("count") / tile).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     tiles = (
-        keyed.join(sizes, ["choice", "bits"])
-        .withColumn("parts", parts)
+        sized.withColumn("parts", parts)
         .withColumn("own", own)
         .select("fp", "rep", "choice", "bits", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.least("own", j) * F.col("parts") + F.greatest("own", j))).alias("tile"))
         .repartition("choice", "bits", "tile")
@@ -109,7 +175,10 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "bits", "tile", "fp", "rep")]
+            if not batch.num_rows:
+                continue
+            choice, bits, tile_no, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("choice", "bits", "tile", "rep"))
+            now = [choice, bits, tile_no, _numbers(batch.column("fp")), rep]
             now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
             cut = _last_run(now)
             yield from linked([x[:cut] for x in now])
@@ -124,16 +193,18 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, t
     def linked(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if len(cols[0]) < 2:
             return
-        fps, reps = cols[3].view(np.uint64), cols[4]
+        fps, reps = cols[3], cols[4]
         change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
         start = np.concatenate(([0], change))
         length = np.diff(np.append(start, len(fps)))
         a, b = [], []
-        two = start[length == 2]  # by far the most
-        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
-        a += reps[two].tolist()
-        b += reps[two + 1].tolist()
-        for at, n in zip(start[length > 2].tolist(), length[length > 2].tolist(), strict=True):
+        for size in range(2, 7):  # by far the most
+            few = start[length == size]
+            for i, j in combinations(range(size), 2) if len(few) else ():
+                near = few[_apart(fps[few + i], fps[few + j]) <= distance]
+                a += reps[near + i].tolist()
+                b += reps[near + j].tolist()
+        for at, n in zip(start[length > 6].tolist(), length[length > 6].tolist(), strict=True):
             x, y = _forest(fps[at : at + n], distance)
             a += reps[at : at + n][x].tolist()
             b += reps[at : at + n][y].tolist()
@@ -186,6 +257,33 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS,
     return numbered.join(kept, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_WORDS, tile: int = TILE) -> DataFrame:
+    """As one_of_each(), of texts whose sets of five-word shingles have a Jaccard similarity of about 0.8 or more.
+
+    Fingerprints are 512 bits wide, since in 64 the distance says too little of a similarity; two that differ in at most
+    distance_of(similarity) bits link. They are found by 32 blocks of 16 bits: up to 31 differing bits, a similarity of
+    about 0.93, some block surely agrees; at 0.8 one does in nine cases of ten. Rows and nulls are treated as there.
+    Comparisons in a block grow with the square of the corpus over 65,536: from some 100 million unlike texts on, raise
+    WORDS and BLOCK_BYTES together.
+    """
+    key = common.unused(docs.columns, "row")
+    numbered = common.stored(docs.withColumn(key, F.monotonically_increasing_id()), "numbered-documents")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([_wide_fingerprint(t, shingle) for t in binary_list(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(key), found], ["doc_id", "row", "fp"])
+
+    rows = numbered.select(F.col("doc_id").cast("long"), key, F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, fp binary")
+    found = common.stored(rows.withColumn("first", F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "row")), "wide-fingerprints")
+    distinct = common.stored(found.groupBy("fp").agg(F.min("first").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
+    component = components(wide_links(distinct.select("fp", "rep"), distance_of(similarity), tile)).withColumnRenamed("node", "rep")
+    kept = distinct.join(component, "rep", "left").groupBy(F.coalesce("component", "rep").alias("component")).agg(F.min("first").alias("first"))
+    # stored, so that Spark knows how many rows go and broadcasts only a short list
+    gone = common.stored(found.select("row").join(kept.select(F.col("first.row").alias("row")), "row", "left_anti"), "repeated-rows")
+    return numbered.join(gone.withColumnRenamed("row", key), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
