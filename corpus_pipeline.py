@@ -48,12 +48,12 @@ def line_chunks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of near duplicates exactly one row stays, that of the least doc_id.
+    """Operator 7, five words and a similarity of 0.8: of each group of near duplicates one row stays, that of the least doc_id.
 
     A row with a null doc_id stays only where its group has no other; of repeated rows one stays; a doc_id at two unlike
     texts keeps both. Null, empty and blank texts are one group. An empty table gives no rows.
     """
-    return simhash.one_of_each(docs)
+    return simhash.one_of_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
