@@ -26,7 +26,7 @@ from tidemark.llm.fm_index import FMIndex
 from tidemark.llm.spans import Block, binary_list, blocks, distinct, runs, spread
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 QUERY_BYTES = 32 << 20
 FOUND = StructType([
     StructField("n_words", LongType()), StructField("hit_words", LongType()), StructField("items", ArrayType(StringType())),
