@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.avi import op6_avi_media
 from tidemark.llm.decontamination import op2_decontamination
+from tidemark.llm.exact_dedup import OP13_SQL, op13_exact_dedup
+from tidemark.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from tidemark.llm.line_dedup import op8_line_dedup
+from tidemark.llm.merkle import OP12_SQL, op12_merkle
 from tidemark.llm.packing import op3_packing
 from tidemark.llm.pseudonyms import op10_pseudonyms
 from tidemark.llm.sharding import op9_sharding
@@ -28,7 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_merkle": op12_merkle,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
-#: Dictionaries, indexes, files and permutations are beyond SQL; tests/llm holds them against brute-force versions.
-ORACLES: dict[str, str] = {}
+#: Dictionaries, files and permutations are beyond SQL; tests/llm holds the other queries against brute-force versions.
+ORACLES: dict[str, str] = {"op11_hard_negatives": OP11_SQL, "op12_merkle": OP12_SQL, "op13_exact_dedup": OP13_SQL}
