@@ -137,7 +137,7 @@ _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in FIELDS) + ")"
 _HIGHER = "sha256(" + " || ".join(_FIELD.format("(n_chars + 1)" if c == "n_chars" else c) for c in FIELDS) + ")"
 _UP = "SELECT g, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM {0} WHERE n > 1 GROUP BY g, level, pos // 2"
 #: The checksum that picks tampered rows, bit by bit: DuckDB has no CRC-32.
-_CRC = """list_reduce([4294967295] || list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii(doc_id::VARCHAR[i + 1])::BIGINT),
+_CRC = """list_reduce([4294967295] || list_transform(range(length(doc_id::VARCHAR)), lambda i: ascii((doc_id::VARCHAR)[i + 1])::BIGINT),
   lambda crc, byte: list_reduce([xor(crc, byte)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
 OP12_SQL = f"""
 WITH RECURSIVE leaves AS (
