@@ -24,24 +24,26 @@ def entry_hash(previous: Column) -> Column:
     return F.sha2(F.concat_ws("|", previous, *[F.coalesce(F.col(c), F.lit("")) for c in FIELDS]), 256)
 
 
-def chained(events: DataFrame, chain: str, order: str) -> DataFrame:
+def chained(events: DataFrame, chain: str, order: str, heads: DataFrame | None = None) -> DataFrame:
     """events with previous_hash and event_hash: a chain of its own for every value of `chain`, in order.
 
-    One task writes a chain, as one writer does; many chains are written side by side.
+    heads (chain, head) are hashes that chains go on from. Each hash takes the one before it, so one task writes a chain, as one writer does; many
+    chains are written side by side. A null chain needs a name first: heads don't find it.
     """
     kept = [chain, order, *FIELDS]
+    known = events.select(*kept, F.lit(GENESIS).alias("head")) if heads is None else events.select(*kept).join(heads, chain, "left").select(*kept, F.coalesce("head", F.lit(GENESIS)).alias("head"))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.sort_values(order, kind="stable")
-        before, previous, own = GENESIS, [], []
+        before, previous, own = rows["head"].iloc[0], [], []
         for texts in zip(*[rows[c].fillna("") for c in FIELDS]):
             previous.append(before)
             before = hashlib.sha256("|".join([before, *texts]).encode()).hexdigest()
             own.append(before)
-        return rows.assign(previous_hash=previous, event_hash=own)
+        return rows.drop(columns="head").assign(previous_hash=previous, event_hash=own)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*kept).schema) + ", previous_hash string, event_hash string"
-    return events.select(*kept).groupBy(chain).applyInPandas(run, schema)
+    return known.groupBy(chain).applyInPandas(run, schema)
 
 
 def chain_breaks(rows: DataFrame, chain: str, order: str) -> DataFrame:

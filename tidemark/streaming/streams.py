@@ -7,8 +7,6 @@ backfill goes through the batch forms instead.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,19 +16,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import values as V
 from tidemark.operators.features import STOP, TAKE
+from tidemark.sources.tables import shared_path
 
 WATERMARK = "1 day"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only where that is unset, as in tests, under a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files as a stream: a file, or a folder to which files are added. The schema is that of the files there now."""
     schema = spark.read.parquet(path).schema
