@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import documents, values
-from tidemark.operators import features, forward, gates, integrity, positions, research, state
+from tidemark.operators import features, forward, gates, integrity, machines, positions, research, state
 from tidemark.plans import series
 from tidemark.sources import bars as B
 from tidemark.streaming import streams
@@ -98,7 +98,7 @@ def test_features_by_hand(spark):
 def test_several_series_at_once(spark):
     two = make_bars(spark, 80).withColumn("instrument", F.explode(F.array(F.lit("a"), F.lit("b"))))
     rows = features.observations(two, by=["instrument"], chunk=64)
-    assert rows.groupBy("instrument").count().collect() == rows.groupBy("instrument").count().collect() and rows.count() == 40
+    assert {r.instrument: r["count"] for r in rows.groupBy("instrument").count().collect()} == {"a": 20, "b": 20}
 
 
 def test_data_sets_pass_whole_or_not_at_all(spark):
@@ -270,7 +270,22 @@ def test_faults_of_exits(spark):
     entry = ("p", "1", "1", "100", "0", "")
     assert position(spark, entry, [("p", 1, "0.5", "101", "-0.1", "USDT"), ("p", 2, "0.2", "101", "-0.1", "BTC")]).reason == "fee_unit_changed"
     assert position(spark, entry, [("p", 1, "0.5", "0", "0", "")]).reason == "average_missing"
-    assert position(spark, entry, [("p", 1, "0.5", "101", "-0.1", "USDT"), ("p", 2, "0.2", "101", "0", "BTC"), ("p", 3, "0.3", "101", "-0.1", "USDT")]).status == "closed"
+    fills = lambda *fees: [("p", k, "0.25", "101", *fee) for k, fee in enumerate(fees)]
+    # a fill without fee still names the unit that the next one is held against, and fees that cancel out free the unit
+    assert position(spark, entry, fills(("-0.1", "USDT"), ("0", "BTC"), ("-0.1", "USDT"))).reason == "fee_unit_changed"
+    assert position(spark, entry, fills(("-0.1", "USDT"), ("0.1", "USDT"), ("-0.1", "BTC"))).reason is None
+    assert position(spark, entry, fills(("-0.1", "USDT"), ("0", ""), ("-0.1", "BTC"))).reason == "fee_unit_changed"
+
+
+@pytest.mark.parametrize("name,path,end", [
+    ("INTENT", "allowed claimed ended", "terminal_verified"), ("INTENT", "allowed claimed unclear ended", "terminal_verified"), ("INTENT", "allowed claimed unclear restart ended", "terminal_verified"),
+    ("INTENT", "allowed claimed accepted ended", "terminal_verified"), ("INTENT", "allowed claimed unclear found ended", "terminal_verified"), ("INTENT", "allowed ended", "previewed"),
+    ("INTENT", "allowed claimed restart reviewed ended", "review_closed"), ("INTENT", "allowed expired claimed", "expired"), ("EXECUTION", "claim preview commit unclear final", "manual_review"),
+    ("EXECUTION", "claim refused preview", "preview_rejected"), ("POSITION", "open entry_filled exit exit_part exit exit_all open", "closed"), ("POSITION", "open entry_none exit", "entry_unfilled"), ("TRAINING", "start restart done", "failed"),
+])
+def test_moves(spark, name, path, end):
+    log = spark.createDataFrame([("x", k, e) for k, e in enumerate(path.split())], "thing string, k int, event string")
+    assert machines.moved(log, ["thing"], ["k"], "event", getattr(machines, name)).orderBy("k").collect()[-1].after == end
 
 
 def test_active_positions(spark):

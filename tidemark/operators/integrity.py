@@ -12,7 +12,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StructType
 
+from tidemark.functions import canonical
 from tidemark.functions.documents import row_seal
 
 GENESIS = "0" * 64
@@ -61,15 +63,21 @@ def verified(rows: DataFrame, chain: str, order: str) -> DataFrame:
     return summary.join(breaks, chain, "left").select(chain, "events", F.col("breaks").isNull().alias("valid"), "last_hash")
 
 
+def _content(rows: DataFrame, name: str) -> Column:
+    """Hash of all columns but name; a NaN is a missing number."""
+    kept = [f for f in rows.schema.fields if f.name != name]
+    plain = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name) for f in kept]
+    return canonical.content_hash(F.struct(*plain), StructType(kept))
+
+
 def sealed(rows: DataFrame, name: str = "row_hash") -> DataFrame:
     """rows with the hash of all their other columns."""
-    return rows.drop(name).withColumn(name, row_seal(*[c for c in rows.columns if c != name]))
+    return rows.drop(name).withColumn(name, _content(rows, name))
 
 
 def seal_mismatches(rows: DataFrame, name: str = "row_hash") -> DataFrame:
     """Rows whose hash is not that of their content."""
-    own = row_seal(*[c for c in rows.columns if c != name])
-    return rows.withColumn("__own", own).filter(~F.col("__own").eqNullSafe(F.col(name))).drop("__own")
+    return rows.filter(~_content(rows, name).eqNullSafe(F.col(name)))
 
 
 def binding_mismatches(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

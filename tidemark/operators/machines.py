@@ -25,7 +25,8 @@ INTENT: Moves = {
     ("dispatching", "credentials"): "credential_mismatch", ("dispatching", "refused"): "rejected", ("dispatching", "transport"): "transport_error",
     ("dispatching", "unclear"): "uncertain", ("dispatching", "found"): "reconciled", ("uncertain", "found"): "reconciled",
     ("dispatching", "restart"): "manual_review", ("uncertain", "restart"): "manual_review", ("manual_review", "reviewed"): "review_closed",
-    ("accepted", "ended"): "terminal_verified", ("reconciled", "ended"): "terminal_verified",
+    ("accepted", "ended"): "terminal_verified", ("reconciled", "ended"): "terminal_verified", ("dispatching", "ended"): "terminal_verified",
+    ("uncertain", "ended"): "terminal_verified", ("manual_review", "ended"): "terminal_verified",
 }
 EXECUTION: Moves = {
     (None, "claim"): "claimed", ("claimed", "preview"): "previewed", ("claimed", "refused"): "preview_rejected", ("previewed", "commit"): "commit_requested",

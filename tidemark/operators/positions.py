@@ -56,7 +56,7 @@ def exits(opened: DataFrame, fills: DataFrame, attempts: int = ATTEMPTS) -> Data
     gathered = each.groupBy("position_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     joined = opened.filter("status = 'long'").select("position_id", "owned", "cost").join(gathered, "position_id", "left")
     none = F.lit(None).cast("string")
-    start = F.struct(F.lit("long").alias("status"), none.alias("reason"), F.lit("").alias("unit"), (F.col("cost") > 0).alias("priced"), V.price("owned").alias("remaining"), V.literal_price("0").alias("exited"), F.lit(0).cast(QUOTE).alias("proceeds"), F.lit(0).alias("tries"))
+    start = F.struct(F.lit("long").alias("status"), none.alias("reason"), F.lit("").alias("unit"), V.literal_price("0").alias("fees"), (F.col("cost") > 0).alias("priced"), V.price("owned").alias("remaining"), V.literal_price("0").alias("exited"), F.lit(0).cast(QUOTE).alias("proceeds"), F.lit(0).alias("tries"))
 
     def step(s: Column, x: Column) -> Column:
         live = s["status"] == "long"
@@ -65,13 +65,15 @@ def exits(opened: DataFrame, fills: DataFrame, attempts: int = ATTEMPTS) -> Data
         wrong = (
             F.when(~x["unit"].isin("", BASE_UNIT, QUOTE_UNIT), "fee_unit_unknown")
             .when((x["filled"] > 0) & (x["unpriced"] | (x["average"] <= 0)), "average_missing")
-            .when((x["fee"] != 0) & (x["unit"] != "") & (s["unit"] != "") & (x["unit"] != s["unit"]), "fee_unit_changed")
             .when((debit < 0) | (debit > s["remaining"]), "exit_above_remaining")
+            .when((x["fee"] != 0) & (s["fees"] != 0) & (x["unit"] != "") & (s["unit"] != "") & (x["unit"] != s["unit"]), "fee_unit_changed")
             .when(quote < 0, "fee_invalid")
         )
         wrong = F.coalesce(wrong, F.when((debit == s["remaining"]) & ~s["priced"], "entry_cost_invalid"))
         good = live & wrong.isNull()
-        unit = F.when(good & (x["fee"] != 0) & (x["unit"] != ""), x["unit"]).otherwise(s["unit"])
+        # the last unit that a fill names, whatever its fee; units are held against each other while the fees so far are not 0
+        unit = F.when(good & (x["unit"] != ""), x["unit"]).otherwise(s["unit"])
+        fees = F.when(good, V.price(s["fees"] + x["fee"])).otherwise(s["fees"])
         remaining = F.when(good, V.price(s["remaining"] - debit)).otherwise(s["remaining"])
         tries = s["tries"] + live.cast("int")
         spent = tries >= attempts
@@ -79,9 +81,9 @@ def exits(opened: DataFrame, fills: DataFrame, attempts: int = ATTEMPTS) -> Data
         reason = F.when(~live, s["reason"]).when(wrong.isNotNull(), wrong).when((remaining != 0) & spent, "exit_attempts_exhausted")
         exited = F.when(good, V.price(s["exited"] + x["filled"])).otherwise(s["exited"])
         proceeds = F.when(good, (s["proceeds"] + quote).cast(QUOTE)).otherwise(s["proceeds"])
-        return F.struct(status.alias("status"), reason.alias("reason"), unit.alias("unit"), s["priced"].alias("priced"), remaining.alias("remaining"), exited.alias("exited"), proceeds.alias("proceeds"), tries.cast("int").alias("tries"))
+        return F.struct(status.alias("status"), reason.alias("reason"), unit.alias("unit"), fees.alias("fees"), s["priced"].alias("priced"), remaining.alias("remaining"), exited.alias("exited"), proceeds.alias("proceeds"), tries.cast("int").alias("tries"))
 
-    done = joined.select("position_id", "cost", F.aggregate(F.coalesce("xs", F.array().cast(gathered.schema["xs"].dataType)), start, step).alias("s")).select("position_id", "cost", "s.*").drop("unit", "priced")
+    done = joined.select("position_id", "cost", F.aggregate(F.coalesce("xs", F.array().cast(gathered.schema["xs"].dataType)), start, step).alias("s")).select("position_id", "cost", "s.*").drop("unit", "fees", "priced")
     average = F.when(F.col("exited") > 0, F.col("proceeds").cast("double") / F.col("exited").cast("double"))
     gain = F.when(F.col("status") == "closed", F.col("proceeds").cast("double") / F.col("cost").cast("double") - 1)
     return done.withColumn("exit_average", average).withColumn("realised_return", gain)

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import features
-from tidemark.plans import ledgers, series
+from tidemark.plans import ledgers, logs, series
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**series.QUERIES, **ledgers.QUERIES}
-ORACLES: dict[str, str] = {**series.ORACLES, **ledgers.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**series.QUERIES, **ledgers.QUERIES, **logs.QUERIES}
+ORACLES: dict[str, str] = {**series.ORACLES, **ledgers.ORACLES, **logs.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
