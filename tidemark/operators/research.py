@@ -6,7 +6,7 @@ range join. Every (config, fold) is a group of its own, and all of them fit and
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
 from tidemark.operators.features import BACK, FEATURES
+from tidemark.operators.scans import compounded
+from tidemark.sources.tables import stored
 
 #: Rows of one fit that a task takes; larger fits are summed by Spark, epoch by epoch.
 TASK_ROWS = 1_000_000
 LEAST_VARIANCE = 1e-18
+#: Values of the order that a task of a greedy run takes.
+CHUNK = 4096
 MODEL = "config int, fold int, n long, means array<double>, scales array<double>, weights array<double>, intercept double"
 
 
@@ -158,7 +162,7 @@ def linear_score(columns: Sequence[str], means: Column, scales: Column, weights:
 
 def score_folds(tests: DataFrame, models: DataFrame, configs: Sequence[Config] = CANDIDATES, columns: Sequence[str] = FEATURES) -> DataFrame:
     """Test rows with each config's score and action; models (configs times folds rows) are broadcast if they are few."""
-    models = models.persist()  # counted here and read by the join: fitted once
+    models = stored(models, "models")  # counted here and read by the join: fitted once
     if models.count() > 100_000:
         joined = tests.join(models, "fold")
     else:
@@ -169,29 +173,61 @@ def score_folds(tests: DataFrame, models: DataFrame, configs: Sequence[Config] =
     return joined.select("config", "fold", "place", "label", "forward_return", score.alias("score")).withColumn("action", V.action(F.col("score"), of["buy"], of["sell"]))
 
 
-def visited(scored: DataFrame, by: Sequence[str], hold: int, order: str = "place", tail: int | None = None) -> DataFrame:
+def visited(scored: DataFrame, by: Sequence[str], hold: int, order: str = "place", tail: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Rows that a greedy long/flat run looks at: by, order, entered. After a buy it skips `hold` rows.
 
-    The last `tail` rows of a slice (hold, if not given) are not looked at: a position could not end within it. This
-    choice is sequential; all that follows from it is not. A group is one model's slice of one series, two columns of it.
+    The last `tail` rows of a slice (hold, if not given) are not looked at: a position could not end within it. order is a
+    whole number, unique in a slice. A slice is cut into chunks of `chunk` values of order. What a chunk does depends only on how many rows
+    the chunk before it still skips, fewer than hold; so every chunk says for each such number what it passes on, these maps
+    (one short row a chunk) are put together in order, and then each chunk marks its own rows. No task sees a slice.
     """
-    left_out = hold if tail is None else tail
-
-    def run(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        part = batches.sort_values(order, kind="stable")
-        n = len(part) - left_out
-        buys = np.flatnonzero(part["__buy"].to_numpy()[: max(0, n)])
-        seen, entered = np.ones(max(0, n), bool), np.zeros(max(0, n), bool)
-        at = 0
+    left_out, slots = hold if tail is None else tail, max(hold, 1)
+    narrow = scored.select(*by, order, (F.col("action") == "buy").alias("__buy"), F.floor(F.col(order) / chunk).alias("__chunk"))
+    rows = stored(narrow, "actions")  # read three times: for sizes, maps and marks
+    later = Window.partitionBy(*by).orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*by, "__chunk").agg(F.count("*").alias("__rows"))
+    sizes = sizes.select(*by, "__chunk", F.greatest(F.lit(left_out) - F.coalesce(F.sum("__rows").over(later), F.lit(0)), F.lit(0)).alias("__out"))
+    keyed = rows.join(sizes, [*by, "__chunk"])
+    typed = {f.name: f.dataType.simpleString() for f in keyed.schema}
+    head = ", ".join(f"{c} {typed[c]}" for c in by)
+
+    def buys_of(part: pd.DataFrame) -> tuple[np.ndarray, int]:
+        n = max(0, len(part) - int(part["__out"].iloc[0]))
+        return np.flatnonzero(part["__buy"].to_numpy(bool)[:n]), n
+
+    def passed_on(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        buys, _ = buys_of(part)
+        rest = np.zeros(len(buys) + 1, np.int64)  # what is left to skip if this buy is the next one taken
+        following = np.searchsorted(buys, buys + hold)
+        for k in range(len(buys) - 1, -1, -1):
+            rest[k] = rest[following[k]] if following[k] < len(buys) else max(0, buys[k] + hold - len(part))
+        first = np.searchsorted(buys, np.arange(slots))
+        out = np.where(first < len(buys), rest[first], np.maximum(np.arange(slots) - len(part), 0))
+        return part.iloc[:1][[*by, "__chunk"]].assign(__map=[out.tolist()])
+
+    def composed(maps: pd.DataFrame) -> pd.DataFrame:
+        maps = maps.sort_values("__chunk", kind="stable")
+        skip, now = [], 0
+        for one in maps["__map"]:
+            skip.append(now)
+            now = int(one[now])
+        return maps[[*by, "__chunk"]].assign(__skip=skip)
+
+    def marked(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        buys, n = buys_of(part)
+        at = int(part["__skip"].iloc[0])
+        seen, entered = np.arange(n) >= at, np.zeros(n, bool)
         while (k := np.searchsorted(buys, at)) < len(buys):
             entered[buys[k]] = True
             seen[buys[k] + 1 : buys[k] + hold] = False
             at = buys[k] + hold
-        return part.iloc[: max(0, n)].assign(entered=entered)[seen][[*by, order, "entered"]]
+        return part.iloc[:n].assign(entered=entered)[seen][[*by, order, "entered"]]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.select(*by, order).schema) + ", entered boolean"
-    buys = scored.select(*by, order, (F.col("action") == "buy").alias("__buy"))
-    return buys.groupBy(*by).applyInPandas(run, schema)
+    maps = keyed.groupBy(*by, "__chunk").applyInPandas(passed_on, f"{head}, __chunk long, __map array<long>")
+    skips = maps.groupBy(*by).applyInPandas(composed, f"{head}, __chunk long, __skip long")
+    return keyed.join(skips, [*by, "__chunk"]).groupBy(*by, "__chunk").applyInPandas(marked, f"{head}, {order} {typed[order]}, entered boolean")
 
 
 def trades(scored: DataFrame, by: Sequence[str], hold: int, cost_bps: float, order: str = "place") -> DataFrame:
@@ -201,11 +237,9 @@ def trades(scored: DataFrame, by: Sequence[str], hold: int, cost_bps: float, ord
 
 
 def equity(rows: DataFrame, by: Sequence[str], order: Sequence[str], change: str = "net") -> DataFrame:
-    """rows with equity, peak (never below 1) and drawdown after each of them, compounding `change` in order."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("equity", F.product(V.growth(F.col(change))).over(w))
-    peaked = run.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(w)))
-    return peaked.withColumn("drawdown", F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(1.0))
+    """rows with equity, peak (never below 1) and drawdown after each of them, compounding `change` in order (unique within by)."""
+    run = compounded(rows, by, order, V.growth(F.col(change)))
+    return run.withColumn("drawdown", F.when(F.col("peak") > 0, (F.col("peak") - F.col("equity")) / F.col("peak")).otherwise(1.0))
 
 
 def performance(rows: DataFrame, by: Sequence[str], order: Sequence[str], change: str = "net") -> DataFrame:
@@ -246,13 +280,13 @@ def report_faults(metrics: DataFrame, report: DataFrame, by: Sequence[str]) -> D
 def walk_forward(obs: DataFrame, spec: Folds, configs: Sequence[Config] = CANDIDATES, cost_bps: float = 24.0, columns: Sequence[str] = FEATURES) -> tuple[DataFrame, DataFrame]:
     """(fold metrics, roll-up) of every config.
 
-    Observations are persisted, since counting, fitting and testing each read them; the caller may unpersist them.
+    Observations and looked-at rows are written to the shared folder, since several jobs read them.
     """
-    obs = obs.persist()
+    obs = stored(obs, "observations")
     rows = obs.count()
     parts = members(obs, rows, spec)
     models = fit(parts.filter("part = 'train'"), configs, columns)
-    traded = trades(score_folds(parts.filter("part = 'test'"), models, configs, columns), ["config", "fold"], spec.horizon, cost_bps)
+    traded = stored(trades(score_folds(parts.filter("part = 'test'"), models, configs, columns), ["config", "fold"], spec.horizon, cost_bps), "traded")
     metrics = fold_metrics(traded, ["config", "fold"])
     return metrics, roll_up(metrics, ["config"], spec.test)
 

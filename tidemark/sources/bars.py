@@ -83,8 +83,8 @@ def raw_candles(bars: DataFrame) -> DataFrame:
 
 
 def well_formed(raw: DataFrame) -> DataFrame:
-    """Rows of the right width."""
-    return raw.filter(F.size("fields") == CANDLE_FIELDS)
+    """Rows that are wide enough to be read; a data set that has any of another width is not valid: see violations."""
+    return raw.filter(F.size("fields") >= CANDLE_FIELDS)
 
 
 def confirmed(raw: DataFrame) -> DataFrame:
