@@ -11,7 +11,6 @@ query_bytes of text each; a task over documents holds one index and one block at
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +26,9 @@ from tidemark.llm.spans import Block, binary_list, blocks, distinct, runs, sprea
 
 WINDOW = 13
 SHARD_BYTES = 3 << 20
-QUERY_BYTES = 32 << 20
+QUERY_BYTES = 8 << 20
+#: Windows that a shard searches at once.
+SLICE = 1 << 15
 FOUND = StructType([
     StructField("n_words", LongType()), StructField("hit_words", LongType()), StructField("items", ArrayType(StringType())),
     StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))),
@@ -43,28 +44,49 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Queries:
-    """Windows of some items over a vocabulary of their words."""
+    """Windows of a block of items as arrays: the block's words by number, and where each window begins.
 
-    def __init__(self, item_ids: list[str | None], texts: list[bytes], window: int):
+    No window is copied: it is a place in the row of words and the item it lies in. Windows that occur twice are
+    brought together by a shard, for those that it may hold.
+    """
+
+    ARRAYS = {"sizes": np.int32, "symbols": np.int32, "starts": np.int32, "owners": np.int32, "lengths": np.int32}
+
+    def __init__(self, item_ids: list[str | None], vocabulary: bytes, **arrays: np.ndarray):
+        self.item_ids, self.vocabulary = item_ids, vocabulary  # words with a blank after each
+        self.sizes, self.symbols, self.starts, self.owners, self.lengths = (arrays[k] for k in self.ARRAYS)
+
+    @classmethod
+    def of(cls, item_ids: list[str | None], texts: list[bytes], window: int) -> Queries:
         block = Block(texts, lower=True)
         start, length = _words(block)
         owner = np.searchsorted(block.starts, start, side="right") - 1
-        words = [block.cut(a, n) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
-        known: dict[bytes, int] = {}
-        symbols = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
-        self.vocabulary = list(known)
-        places: dict[bytes, set[str | None]] = {}
+        codes, lead = distinct(block, start, length)
+        vocabulary = b"".join([block.cut(a, n) + b" " for a, n in zip(start[lead].tolist(), length[lead].tolist(), strict=True)])
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
-        for i in range(len(texts)):
-            own = symbols[first[i] : first[i + 1]]
-            size = min(window, len(own))
-            for a in range(len(own) - size + 1 if size else 0):
-                places.setdefault(own[a : a + size].tobytes(), set()).add(item_ids[i])
-        by_size: dict[int, list[tuple[np.ndarray, set[str | None]]]] = {}
-        for key, items in places.items():
-            pattern = np.frombuffer(key, np.int64)
-            by_size.setdefault(len(pattern), []).append((pattern, items))
-        self.groups = [(size, np.stack([p for p, _ in got]), [items for _, items in got]) for size, got in sorted(by_size.items())]
+        words = np.diff(first)
+        size = np.minimum(words, window)
+        places = np.where(size > 0, words - size + 1, 0)
+        arrays = (length[lead], codes, spread(first[:-1], places), np.repeat(np.arange(len(texts)), places), np.repeat(size, places))
+        return cls(item_ids, vocabulary, **{k: v.astype(t) for (k, t), v in zip(cls.ARRAYS.items(), arrays, strict=True)})
+
+    def write(self, sink: pa.NativeFile) -> None:
+        columns = {"item_ids": pa.array([self.item_ids], pa.list_(pa.string())), "vocabulary": pa.array([self.vocabulary], pa.large_binary())}
+        columns |= {k: pa.array([getattr(self, k).tobytes()], pa.large_binary()) for k in self.ARRAYS}
+        batch = pa.RecordBatch.from_pydict(columns)
+        with pa.ipc.new_file(sink, batch.schema) as out:
+            out.write_batch(batch)
+
+    @classmethod
+    def read(cls, path: str) -> Queries:
+        """The block in a file; from a local folder it is mapped, so that all workers of a machine share its pages."""
+        from pyarrow import fs
+
+        where, name = fs.FileSystem.from_uri(path)
+        source = pa.memory_map(name) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(name)
+        batch = pa.ipc.open_file(source).get_batch(0)
+        array = {k: np.frombuffer(batch.column(k)[0].as_buffer(), t) for k, t in cls.ARRAYS.items()}
+        return cls(batch.column("item_ids")[0].as_py(), batch.column("vocabulary")[0].as_buffer().to_pybytes(), **array)
 
 
 def _query_files(items: DataFrame, window: int, query_bytes: int) -> list[str]:
@@ -85,7 +107,7 @@ def _query_files(items: DataFrame, window: int, query_bytes: int) -> list[str]:
         def write() -> None:
             name = f"block-{TaskContext.get().taskAttemptId()}-{len(paths)}"
             with where.open_output_stream(f"{root}/{name}", compression=None) as sink:
-                sink.write(pickle.dumps(Queries(ids, texts, window)))
+                Queries.of(ids, texts, window).write(sink)
             paths.append(f"{folder}/{name}")
 
         for batch in batches:
@@ -108,11 +130,7 @@ def _query_files(items: DataFrame, window: int, query_bytes: int) -> list[str]:
 @lru_cache(maxsize=1)
 def _queries(path: str) -> Queries:
     """One block of windows; a worker keeps the last one."""
-    from pyarrow import fs
-
-    where, name = fs.FileSystem.from_uri(path)
-    with where.open_input_stream(name, compression=None) as source:
-        return pickle.loads(source.read())
+    return Queries.read(path)
 
 
 class Shard:
@@ -134,14 +152,14 @@ class Shard:
         self.order = np.argsort(hashes, kind="stable")
         self.lead, self.hashes = lead[self.order], hashes[self.order]
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
+    def symbols(self, vocabulary: bytes, sizes: np.ndarray) -> np.ndarray:
         """The index's symbol of each word, 0 for a word that no document here has."""
-        out = np.zeros(len(words), np.int64)
-        block = Block([self.block.raw[: self.block.size], b" ".join(words)])
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.zeros(len(sizes), np.int64)
+        block = Block([self.block.raw[: self.block.size], vocabulary])
+        sizes = sizes.astype(np.int64)
         at = block.starts[1] + np.cumsum(sizes + 1) - sizes - 1
         hashes = block.hashes(at, sizes)
-        place, left = np.searchsorted(self.hashes, hashes), np.arange(len(words))
+        place, left = np.searchsorted(self.hashes, hashes), np.arange(len(sizes))
         while len(left):  # more than once only where hashes collide
             left = left[place[left] < len(self.hashes)]
             left = left[self.hashes[place[left]] == hashes[left]]
@@ -153,26 +171,38 @@ class Shard:
         return out
 
     def search(self, queries: Queries) -> None:
-        if not len(self.start):
+        if not len(self.start) or not len(queries.starts):
+            return
+        symbols = self.symbols(queries.vocabulary, queries.sizes)[queries.symbols]
+        unknown = np.concatenate(([0], np.cumsum(symbols == 0, dtype=np.int32)))
+        whole = np.flatnonzero(unknown[queries.starts + queries.lengths] == unknown[queries.starts])
+        for size in np.unique(queries.lengths[whole]).tolist():
+            own = whole[queries.lengths[whole] == size]
+            for a in range(0, len(own), SLICE):
+                part = own[a : a + SLICE]
+                self._windows(queries, symbols[queries.starts[part, None] + np.arange(size)], queries.owners[part])
+
+    def _windows(self, queries: Queries, patterns: np.ndarray, owners: np.ndarray) -> None:
+        """Hits and items of a slice of windows of one length; equal windows are searched once."""
+        patterns, of = np.unique(patterns, axis=0, return_inverse=True)
+        low, high = self.index.search(patterns)
+        found = np.flatnonzero(high > low)
+        if not len(found):
             return
-        symbols = self.symbols(queries.vocabulary)
-        for size, windows, items in queries.groups:
-            patterns = symbols[windows]
-            whole = np.flatnonzero((patterns > 0).all(axis=1))
-            if not len(whole):
-                continue
-            low, high = self.index.search(patterns[whole])
-            found = np.flatnonzero(high > low)
-            if not len(found):
-                continue
-            counts = high[found] - low[found]
-            at = self.word[self.index.locate(spread(low[found], counts))]
-            np.add.at(self.hit, at, 1)
-            np.add.at(self.hit, at + size, -1)
-            docs = np.searchsorted(self.first, at, side="right") - 1
-            both = np.unique(docs * len(whole) + np.repeat(found, counts))
-            for d, k in zip((both // len(whole)).tolist(), whole[both % len(whole)].tolist(), strict=True):
-                self.items.setdefault(d, set()).update(items[k])
+        counts = high[found] - low[found]
+        at = self.word[self.index.locate(spread(low[found], counts))]
+        np.add.at(self.hit, at, 1)
+        np.add.at(self.hit, at + patterns.shape[1], -1)
+        docs = np.searchsorted(self.first, at, side="right") - 1
+        pairs = np.unique(docs * len(patterns) + np.repeat(found, counts))
+        docs, kinds = pairs // len(patterns), pairs % len(patterns)
+        order = np.argsort(of, kind="stable")
+        begin = np.searchsorted(of[order], np.arange(len(patterns) + 1))
+        many = np.diff(begin)[kinds]
+        items = owners[order[spread(begin[kinds], many)]].astype(np.int64)
+        both = np.unique(np.repeat(docs, many) * len(queries.item_ids) + items)
+        for d, i in zip((both // len(queries.item_ids)).tolist(), (both % len(queries.item_ids)).tolist(), strict=True):
+            self.items.setdefault(d, set()).add(queries.item_ids[i])
 
     def rows(self) -> Iterator[tuple[int, int, list[str | None], list[dict]]]:
         """(words, hit words, items, merged byte spans) of each document."""
