@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,3 +68,35 @@ def text_bytes(text: str = "text") -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) whose workers give memory back to the machine.
+
+    Spark keeps Python workers for later tasks, and by default a worker keeps what it has freed, up to the most that any
+    earlier task of it needed. Here arrays of a megabyte and more are mapped, so that they go when they are freed, and the rest goes
+    at the end of each task.
+    """
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        pa.set_memory_pool(pa.system_memory_pool())
+        if libc:
+            libc.mallopt(_MAP_FROM, 1 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            if libc:
+                libc.malloc_trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
+#: The C library's number for the size from which memory is mapped.
+_MAP_FROM = -3
+
+
+def _libc() -> ctypes.CDLL | None:
+    """The C library, where it is one that can do this."""
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim") else None

@@ -25,7 +25,7 @@ from tidemark.llm.fm_index import FMIndex
 from tidemark.llm.spans import Block, binary_list, blocks, distinct, runs, spread
 
 WINDOW = 13
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 QUERY_BYTES = 8 << 20
 #: Windows that a shard searches at once.
 SLICE = 1 << 15
@@ -123,7 +123,7 @@ def _query_files(items: DataFrame, window: int, query_bytes: int) -> list[str]:
             write()
         yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
 
-    found = items.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "path string")
+    found = common.mapped(items.select(F.col("item_id").cast("string"), F.col("text").cast("string")), run, "path string")
     return sorted(r.path for r in found.collect())
 
 
@@ -242,7 +242,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
                 arrays = [pa.array(words, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, _SPANS)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], *arrays], [*names, *FOUND.names])
 
-    return base.mapInArrow(run, StructType([*[base.schema[c] for c in names], *FOUND.fields]))
+    return common.mapped(base, run, StructType([*[base.schema[c] for c in names], *FOUND.fields]))
 
 
 def is_contaminated() -> Column:

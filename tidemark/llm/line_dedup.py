@@ -131,7 +131,7 @@ def _hashes(docs: DataFrame, min_words: int) -> DataFrame:
             found, n = np.unique(c.hash.view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, n long")
+    return common.mapped(docs.select("text"), run, "h long, n long")
 
 
 def _filter(repeated: DataFrame, bits: int) -> bytes:
@@ -182,10 +182,10 @@ def _candidates(docs: DataFrame, repeated: DataFrame, min_words: int, most_bits:
 
     out = "__id long, __th long, number int, long boolean, chunk binary"
     if shared:
-        return keyed.mapInArrow(filtered, out)
-    places = common.stored(keyed.mapInArrow(numbered, "__id long, __th long, number int, h long"), "line-places")
+        return common.mapped(keyed, filtered, out)
+    places = common.stored(common.mapped(keyed, numbered, "__id long, __th long, number int, h long"), "line-places")
     numbers = places.join(repeated, "h").groupBy("__id", "__th").agg(F.collect_set("number").alias("numbers")).select(F.col("__id").alias("i"), F.col("__th").alias("t"), "numbers")
-    return keyed.join(numbers, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t"))).select("__id", "__th", "text", "numbers").mapInArrow(joined, out)
+    return common.mapped(keyed.join(numbers, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t"))).select("__id", "__th", "text", "numbers"), joined, out)
 
 
 def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_BITS) -> DataFrame:
@@ -254,7 +254,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, sums(c.ends), pa.array(np.diff(first)), sums(removed), sums(c.ends * removed)], [*names, *extra])
 
-    return joined.mapInArrow(run, StructType([*base.schema.fields, *[StructField(n, LongType()) for n in extra]]))
+    return common.mapped(joined, run, StructType([*base.schema.fields, *[StructField(n, LongType()) for n in extra]]))
 
 
 def _mark(removed: np.ndarray, numbers: list[int]) -> None:

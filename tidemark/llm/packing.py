@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW
         if held:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return common.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
@@ -165,7 +165,7 @@ def with_crc(pieces: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if n == "ids_crc32" else batch.column(n) for n in names], names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return pieces.mapInArrow(run, PIECES.replace("ids array<int>", "ids_crc32 long"))
+    return common.mapped(pieces, run, PIECES.replace("ids array<int>", "ids_crc32 long"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

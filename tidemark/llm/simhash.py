@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, key: str | None = None
             found = np.fromiter((_fingerprint(t, shingle) for t in binary_list(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(*[F.col(c).cast("long") for c in kept], F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
+    return common.mapped(docs.select(*[F.col(c).cast("long") for c in kept], F.col("text").cast("string")), run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def block_keys(fp: str, distance: int, blocks: int) -> Column:
@@ -211,7 +211,7 @@ def _joined(sized: DataFrame, distance: int, tile: int) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return tiles.mapInArrow(run, "a long, b long")
+    return common.mapped(tiles, run, "a long, b long")
 
 
 def linked(found: DataFrame, distance: int, blocks: int, tile: int) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +274,7 @@ def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
             found = pa.array([_wide_fingerprint(t, shingle) for t in binary_list(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(key), found], ["doc_id", "row", "fp"])
 
-    rows = numbered.select(F.col("doc_id").cast("long"), key, F.col("text").cast("string")).mapInArrow(run, "doc_id long, row long, fp binary")
+    rows = common.mapped(numbered.select(F.col("doc_id").cast("long"), key, F.col("text").cast("string")), run, "doc_id long, row long, fp binary")
     found = common.stored(rows.withColumn("first", F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "row")), "wide-fingerprints")
     distinct = common.stored(found.groupBy("fp").agg(F.min("first").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "distinct-fingerprints")
     component = components(wide_links(distinct.select("fp", "rep"), distance_of(similarity), tile)).withColumnRenamed("node", "rep")

@@ -315,7 +315,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = pa.array(shared.value.scores(binary_list(batch.column("text"))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, "score"])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
+    return common.mapped(kept, run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
 
 
 def held_out() -> Column:
