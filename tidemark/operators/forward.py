@@ -40,11 +40,15 @@ def emitted(scored: DataFrame, bar_seconds: int, hold: int = HOLD) -> DataFrame:
     return signals.select("model_id", "idx", F.col("closed_at").alias("entry_at"), F.timestamp_add("SECOND", F.lit(bar_seconds * hold), "closed_at").alias("due_at"), "action", "score", V.price("close").alias("entry_close"), signal_id("model_id", V.iso_ms("closed_at")).alias("signal_id"))
 
 
+def steps(signals: DataFrame, bar_seconds: int, hold: int = HOLD) -> DataFrame:
+    """Each signal once for each bar of its holding period, with that bar's step and closing time."""
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(hold))).alias("step")
+    return signals.select("*", ahead).withColumn("closed_at", F.timestamp_add("SECOND", F.col("step") * bar_seconds, F.col("entry_at")))
+
+
 def paths(signals: DataFrame, bars: DataFrame, bar_seconds: int, hold: int = HOLD) -> DataFrame:
     """Each signal beside the bars of its holding period: an equi-join on closing times, no range join."""
-    ahead = F.explode(F.sequence(F.lit(1), F.lit(hold))).alias("step")
-    wanted = signals.select("*", ahead).withColumn("closed_at", F.timestamp_add("SECOND", F.col("step") * bar_seconds, F.col("entry_at")))
-    return wanted.join(bars.select("closed_at", "high", "low", "close"), "closed_at")
+    return steps(signals, bar_seconds, hold).join(bars.select("closed_at", "high", "low", "close"), "closed_at")
 
 
 def settled(signals: DataFrame, bars: DataFrame, bar_seconds: int, cost_bps: float = 24.0, hold: int = HOLD, stop: float = STOP, take: float = TAKE) -> DataFrame:
@@ -53,12 +57,16 @@ def settled(signals: DataFrame, bars: DataFrame, bar_seconds: int, cost_bps: flo
     Prices are exact, unlike those of research labels. Signals that buy nothing earn nothing. A signal whose path has a
     gap is left for backfilled bars: see incomplete().
     """
+    return closed(paths(signals, bars, bar_seconds, hold), cost_bps, hold, stop, take)
+
+
+def closed(found: DataFrame, cost_bps: float = 24.0, hold: int = HOLD, stop: float = STOP, take: float = TAKE) -> DataFrame:
+    """settled() of rows that paths() gave, or a stream of them."""
     one = V.literal_price("1")
     low, high = (F.col("entry_close") * (one - V.literal_price(str(stop)))), (F.col("entry_close") * (one + V.literal_price(str(take))))
     touched = F.when(V.price("low") <= low, low.cast("decimal(38,16)")).when(V.price("high") >= high, high.cast("decimal(38,16)"))
     keys = ["signal_id", "model_id", "entry_at", "due_at", "action", "entry_close"]
-    found = paths(signals, bars, bar_seconds, hold).withColumn("touch", touched)
-    ended = found.groupBy(*keys).agg(
+    ended = found.withColumn("touch", touched).groupBy(*keys).agg(
         F.count("*").alias("bars"),
         F.min_by(F.when(F.col("touch").isNotNull(), F.struct("touch", "step")), F.when(F.col("touch").isNotNull(), F.col("step"))).alias("hit"),
         F.max_by("close", "step").alias("last_close"),

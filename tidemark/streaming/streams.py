@@ -21,11 +21,38 @@ from tidemark.sources.tables import shared_path
 WATERMARK = "1 day"
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
+#: State store with column families and timers.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def read_files(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
     """Parquet files as a stream: a file, or a folder to which files are added. The schema is that of the files there now."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")  # as a pattern, a single file may be named too
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader
+    return reader.parquet(f"{folder}/{{{name}}}")  # as a pattern, a single file may be named too
+
+
+def feed(rows: DataFrame, arrival: str, parts: int, name: str) -> str:
+    """A folder to which rows came in parts, the number of each in the column arrival (left out): what a stream replays in that order."""
+    folder = shared_path(rows.sparkSession, name)
+    for number in range(parts):
+        rows.filter(F.col(arrival) == number).drop(arrival).write.mode("append").parquet(folder)
+    return folder
+
+
+def with_paths(wanted: DataFrame, bars: DataFrame, watermark: str) -> DataFrame:
+    """Streams joined on closed_at: every wanted row (signal and step of its holding period) with high, low and close of its bar.
+
+    A step whose bar does not come before the watermark has passed it comes out with nulls, once. State holds the rows of
+    the watermark's delay on either side. A join on the closing time spreads one long series over all tasks, as a time
+    interval beside an equal series would not.
+    """
+    clocked = lambda df, name: df.withColumn(name, F.col("closed_at").cast("timestamp")).drop("closed_at").withWatermark(name, watermark)
+    left, right = clocked(wanted, "closed"), clocked(bars.select("closed_at", "high", "low", "close"), "bar_closed")
+    return left.join(right, F.col("closed") == F.col("bar_closed"), "left_outer").select(*[c for c in wanted.columns if c != "closed_at"], F.col("closed").cast("timestamp_ntz").alias("closed_at"), "high", "low", "close", F.col("bar_closed").isNotNull().alias("there"))
 
 
 def bars(ticks: DataFrame, seconds: int, watermark: str = WATERMARK) -> DataFrame:
@@ -83,10 +110,11 @@ def settled(feed: DataFrame, hold: int = 12, stop: float = STOP, take: float = T
     return feed.groupBy("series").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def collected(stream: DataFrame, name: str, mode: str = "append", store: str | None = None) -> DataFrame:
     """Run the stream over what is there now and return its rows as written; in update mode, every version of a row.
 
-    Batches go to a folder of their own, which a repeated batch writes again: column __batch tells them apart.
+    Batches go to a folder of their own, which a repeated batch writes again: column __batch tells them apart. store is
+    the state store's class for this stream alone.
     """
     spark = stream.sparkSession
     out = shared_path(spark, name)
@@ -94,7 +122,15 @@ def collected(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/__batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(write).start()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(write)
+    usual = spark.conf.get(STORE, None)
+    if store:
+        spark.conf.set(STORE, store)
+    try:
+        query = writer.start()  # a stream keeps the settings of its start
+    finally:
+        if store:
+            spark.conf.set(STORE, usual) if usual else spark.conf.unset(STORE)
     query.awaitTermination()
     return spark.read.parquet(out)
 
