@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import features
-from tidemark.plans import flows, ledgers, logs, series
+from tidemark.plans import checks, flows, ledgers, logs, series
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**series.QUERIES, **ledgers.QUERIES, **logs.QUERIES, **flows.QUERIES}
-ORACLES: dict[str, str] = {**series.ORACLES, **ledgers.ORACLES, **logs.ORACLES, **flows.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**series.QUERIES, **ledgers.QUERIES, **logs.QUERIES, **flows.QUERIES, **checks.QUERIES}
+ORACLES: dict[str, str] = {**series.ORACLES, **ledgers.ORACLES, **logs.ORACLES, **flows.ORACLES, **checks.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
