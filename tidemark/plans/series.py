@@ -10,6 +10,7 @@ from tidemark.operators import features as O
 from tidemark.operators import forward, research
 from tidemark.plans import sql as Q
 from tidemark.sources import bars as B
+from tidemark.sources.tables import stored
 from tidemark.streaming import streams
 
 SPEC = research.Folds(train=200, test=100, step=100, horizon=12, embargo=1)
@@ -182,11 +183,13 @@ def stream_once_per_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_settle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored bars in six batches of 120, the last with all that follow; open positions go from batch to batch in state."""
     bars = hourly(spark, sf_dir)
     scored = _scored(O.features(bars, chunk=256)).select(F.col("model_id").alias("series"), "idx", (F.col("action") == "buy").alias("buy"))
-    folder = streams.shared_path(spark, "feed")
-    scored.join(bars.select("idx", "high", "low", "close"), "idx").select("series", F.col("idx").cast("long").alias("idx"), "high", "low", "close", "buy").write.parquet(folder)
-    done = streams.collected(streams.settled(streams.read_files(spark, folder), HOLD), "stream-settle")
+    rows = stored(scored.join(bars.select("idx", "high", "low", "close"), "idx").select("series", F.col("idx").cast("long").alias("idx"), "high", "low", "close", "buy", F.least(F.lit(5), F.floor(F.col("idx") / 120)).cast("int").alias("part")), "scored-bars")
+    # of each part one file a task, so that no batch holds rows of a later part before those of an earlier one
+    folder = streams.feed(rows.repartition(4, "series"), "part", 6, "feed")
+    done = streams.collected(streams.settled(streams.read_files(spark, folder, 1), HOLD), "stream-settle")
     return done.select("series", "entry_idx", "exit_idx", r("exit_close").alias("exit_close"), r("net_return").alias("net_return"))
 
 
@@ -290,6 +293,7 @@ SELECT signal_id, {_S('due_at')} AS due_at, 12 - n AS missing FROM there WHERE n
     "shadow_summary": f"""WITH RECURSIVE {_SUMMED}
 SELECT model_id, count(*) AS settled_signals, count(*) AS settled_buys, {_R('arg_max(equity, entry_at) - 1')} AS net_return, {_R('max((peak - equity) / peak)')} AS max_drawdown, {_S('min(entry_at)')} AS first_signal_at, {_S('arg_max(due_at, entry_at)')} AS last_settled_at,
   {_R("(epoch_ms(arg_max(due_at, entry_at)) - epoch_ms(min(entry_at))) / 86400000.0")} AS duration_days FROM curve GROUP BY model_id""",
+    "stream_settle": f"WITH RECURSIVE {_SETTLE} SELECT model_id AS series, b.idx AS entry_idx, b.idx + coalesce(exit_step, 12) AS exit_idx, {_R('exit_close')} AS exit_close, {_R('net_return')} AS net_return FROM nets JOIN bars b ON b.closed_at = entry_at",
     "stream_bars": f"WITH {Q.TICKS} SELECT {_S('bar')} AS opened_at, CAST(sum(step) AS DOUBLE) AS total, count(*) AS volume, CAST(max(step) AS DOUBLE) AS largest_step, CAST(min(step) AS DOUBLE) AS least_step FROM (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS bar FROM steps) GROUP BY bar",
     "stream_once_per_bar": f"WITH {Q.TICKS} SELECT DISTINCT {_S('opened_at')} AS opened_at FROM ticks",
 }
