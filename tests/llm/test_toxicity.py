@@ -69,3 +69,11 @@ def test_labels_of_held_out_rows_have_no_part(spark, small):
     turned = labels.withColumn("toxic", cases.F.when(toxicity.held_out(), 1 - cases.F.col("toxic")).otherwise(cases.F.col("toxic")))
     a, b = (toxicity.trained(docs, x) for x in (labels, turned))
     assert a.toxic == b.toxic and a.ordinary == b.ordinary and a.bias == b.bias and (a.weights == b.weights).all()
+
+
+def test_a_text_that_does_not_fit_hides_no_others(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5000)
+    docs = spark.createDataFrame([(k, f"words of text {k} " + "long " * (2000 if k == 7 else 1)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    pairs, counts = toxicity.sample(docs, labels)
+    assert len(pairs) == 59 and not any(b"text 7 " in t for t, _ in pairs) and counts == {0: 30, 1: 30}

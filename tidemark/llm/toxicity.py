@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -269,8 +269,13 @@ def sample(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = Non
     found = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("th")).join(F.broadcast(picked), "id")
     found = common.stored(found.select(F.xxhash64("id").alias("h"), "id", "y", "th", F.length("t").alias("n"), "t"), "labelled")
     once = found.groupBy("h", "id", "y").agg(F.min_by("n", "th").alias("n"), F.min("th").alias("th")).groupBy("th").agg(F.min_by(F.struct("h", "id", "n"), F.struct("h", "id")).alias("r")).select("r.*", "th")
-    # at most as many rows as sum(rows); texts stay where they are
-    fits = once.withColumn("total", F.sum("n").over(Window.orderBy("h", "id"))).filter(F.col("total") <= SAMPLE_BYTES).select("h", "id", "th")
+    # at most as many rows as sum(rows); texts stay where they are. One that doesn't fit is passed over, those behind it are not
+    room, fits = SAMPLE_BYTES, []
+    for r in sorted(once.select("h", "id", "th", "n").collect(), key=lambda r: (r.h, r.id)):
+        if r.n <= room:
+            room -= r.n
+            fits.append((r.h, r.id, r.th))
+    fits = docs.sparkSession.createDataFrame(fits, "h long, id long, th long")
     got = found.join(F.broadcast(fits), ["h", "id", "th"]).select("h", "y", "t").dropDuplicates(["h"]).collect()
     common.forget(docs.sparkSession, found)
     pairs = [(bytes(r.t), r.y) for r in sorted(got, key=lambda r: r.h)]
