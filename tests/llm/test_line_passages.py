@@ -21,12 +21,12 @@ def prose(words, lengths, end=". "):
 
 #: name -> (sentences of the passage, what ends them, what stands before them, least share of words of later copies that goes)
 KINDS = {
-    "sentences": (range(10, 25), ". ", "", 0.98),
-    "short sentences": (range(4, 9), ". ", "", 0.93),
-    "lines": (range(12, 20), "\n", "\n", 0.95),
-    "one line": ([200], "\n", "\n", 0.98),
-    "one sentence": ([200], ". ", "", 0.98),
-    "inside a sentence": ([200], " ", "open", 0.8),
+    "sentences": (range(10, 25), ". ", "", 0.99),
+    "short sentences": (range(4, 9), ". ", "", 0.99),
+    "lines": (range(12, 20), "\n", "\n", 0.99),
+    "one line": ([200], "\n", "\n", 0.99),
+    "one sentence": ([200], ". ", "", 0.99),
+    "inside a sentence": ([200], " ", "open", 0.99),
 }
 
 

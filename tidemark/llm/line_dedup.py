@@ -1,19 +1,22 @@
 """Line dedup by content-defined chunks of lines.
 
-A line ends at a line feed, or after a full stop, question or exclamation mark with a space behind it: running text
-without line feeds has lines too. Every line end ends a chunk, and so does a blank inside a line if a hash of the eight
-bytes before it is the least among it and three blanks on either side: boundaries depend on a passage's own bytes alone,
-whatever stands around it. Lines without words belong to the chunk before them. A chunk is removed if what it is compared by stands elsewhere too, byte for byte, and this is not its first place in the
-order of (doc_id, text hash, number of the chunk). A chunk of min_words words or more is compared by its own bytes. Of
-the shorter ones, half by a bit of their hash, and the first of a line of min_words words, are compared together with
-what follows them, up to min_words words, such a line's within the line; the others go where they repeat and touch a
-removed chunk. What is removed stands whole at the first place.
-
-Two passes over the text: the first shuffles chunk hashes alone, counted before the shuffle. Repeated hashes become a
-Bloom filter, sized by their count; where it would be larger than FILTER_BITS, the hashes of all chunks are joined with
-the repeated ones instead. The second pass takes the text of chunks that pass the filter and groups it: equal groups
-are equal bytes, and what the filter let through by chance stands alone there. A passage that a third of all documents
-share is summed up in each task first, and the joins after that are ones that Spark splits where keys are skewed.
+A line ends at a line feed, after a word that ends in a full stop, question or exclamation mark, and, as running text may have
+neither, after a word whose last eight bytes hash below those of the word before and not above those of the word after it, if
+all of them stand in the same sentence. A rolling hash over the hashes of two lines chooses the chunks: one ends where
+it is below that of the line before and not above that of the line after, so a chunk has two lines or more (the last of
+a text may have one) and its bounds depend on four lines around them alone, whatever stands before the passage.
+
+Chunks of several lines that stand elsewhere too, byte for byte, are seeds; their first place in the order of (doc_id,
+text hash, number of the chunk) stays. Elsewhere seeds that follow one another as their first places do are one run. It
+is extended to both sides, byte for byte and by whole words, as far as the first place reads alike, within the two chunks
+beside it, and goes if it has min_words words or more then: one shared line of fewer stays, and so does a chunk alone.
+
+Two passes over the text find the seeds: the first shuffles chunk hashes alone, counted before the shuffle. Repeated hashes become
+a Bloom filter, sized by their count; where it would be larger than FILTER_BITS, the hashes of all chunks are joined with
+the repeated ones instead. The second pass takes the text of chunks that pass the filter, and of two beside them, and groups the former:
+equal groups are equal bytes, and what the filter let through by chance stands alone there. A passage that a third of all documents
+share is summed up in each task first, and the joins after that are ones that Spark splits where keys are skewed. A third
+pass extends and cuts.
 """
 
 from __future__ import annotations
@@ -23,19 +26,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm import common
 from tidemark.llm.spans import _MASK, Block, binary_list, blocks, runs
 
-MIN_WORDS = 10
+MIN_WORDS = 20
 #: Bits of the largest Bloom filter, and bits a hash.
 FILTER_BITS, BITS_A_HASH = 1 << 28, 16
 FILTER_HASHES = 3
 BLOCK_BYTES = 1 << 20
-APART = 3
+#: Chunks beside a seed that an extension may reach into, and bytes of each of them.
+BESIDE, BESIDE_BYTES = 2, 512
 #: Columns that dedup_lines adds.
 ADDED = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
 
@@ -44,16 +49,20 @@ _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass
 class Chunks:
+    """Words, lines and chunks of a block; a text without words has none of them."""
+
     block: Block
+    begin: np.ndarray  # of each word
+    end: np.ndarray
+    word: np.ndarray  # first word of each line
+    line: np.ndarray  # first line of each chunk
     owner: np.ndarray  # text of each chunk
     number: np.ndarray  # within its text
     start: np.ndarray
-    stop: np.ndarray  # where the next chunk starts
-    content: np.ndarray  # end of the bytes it is compared by, which begin at start
-    lines: np.ndarray  # chunks it is compared with; one of min_words words or more counts as two
-    words: np.ndarray  # in the bytes it is compared by
+    stop: np.ndarray  # end of its last word
+    after: np.ndarray  # where the next chunk starts, or the end of the text
+    lines: np.ndarray
     hash: np.ndarray
-    ends: np.ndarray  # lines that end in it
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,74 +70,59 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def chunk(texts: list[bytes], min_words: int = MIN_WORDS) -> Chunks:
-    """Chunks of all texts; an empty text has one chunk of one empty line."""
+def _least(rank: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Whether a rank is below the one before and not above the one after; joined: whether a place belongs with the one before."""
+    out = np.zeros(len(rank), bool)
+    if len(rank) > 2:
+        out[1:-1] = joined[1:-1] & joined[2:] & (rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:])
+    return out
+
+
+def chunk(texts: list[bytes]) -> Chunks:
     block = Block(texts, b"\n")
     data = block.data[: block.size]
-    mark = (data == 46) | (data == 33) | (data == 63)
-    end = data == 10
-    end[:-1] |= mark[:-1] & (data[1:] == 32)
-    stop = np.flatnonzero(end) + 1
-    start = np.concatenate(([0], stop[:-1])).astype(np.int64)
-    owner = np.searchsorted(block.starts, start, side="right") - 1
-    stop = np.minimum(stop, block.ends[owner])
-    body = np.minimum(start + (block.data[start] == 32), stop)
-    tail = np.maximum(body, stop - ((stop > body) & (block.data[stop - 1] == 10)))
-    solid = data > 32
-    begins = np.concatenate(([0], np.cumsum(np.diff(solid.astype(np.int8), prepend=0) == 1)))
-    blank = np.flatnonzero((data[:-1] == 32) & solid[1:])
-    line = np.cumsum(end)[blank]
-    inside = (blank > body[line]) & (blank < tail[line])
-    blank, line = blank[inside], line[inside]
-    seen = np.minimum(blank - body[line], 8)  # bytes of the line before the blank
+    edge = np.diff((data > 32).astype(np.int8), prepend=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    feeds, tail = np.flatnonzero(data == 10), data[end - 1]
+    closed = (tail == 46) | (tail == 33) | (tail == 63)
+    hard = np.ones(len(begin), bool)
+    hard[1:] = closed[:-1] | (np.searchsorted(feeds, begin[1:]) != np.searchsorted(feeds, end[:-1]))
+    seen = np.maximum(begin, end - 8)
     with np.errstate(over="ignore"):
-        rank = _mix((block.eight(blank - seen) & _MASK[seen]) * _K2)
-    picked = np.ones(len(blank), bool)
-    for k in range(1, APART + 1):
-        near = line[k:] == line[:-k]
-        picked[:k] = picked[len(blank) - min(k, len(blank)) :] = False
-        picked[k:] &= near & (rank[k:] < rank[:-k])
-        picked[:-k] &= near & (rank[:-k] <= rank[k:])
-    at, line = np.concatenate((start, blank[picked])), np.concatenate((np.arange(len(start)), line[picked]))
-    order = np.argsort(at, kind="stable")
-    at, line = at[order], line[order]
-    last = np.append(line[1:] != line[:-1], True)
-    after = np.append(at[1:], 0)
-    stop, content = np.where(last, stop[line], after), np.where(last, tail[line], after)
-    own = np.minimum(at + (block.data[at] == 32), content)
-    owner = owner[line]
-    words = begins[content] - begins[own]
-    leads = np.flatnonzero((words > 0) | np.append(True, owner[1:] != owner[:-1]))  # wordless ones join the one before
-    stop, ends = stop[np.append(leads[1:], len(at)) - 1], np.add.reduceat(last.astype(np.int64), leads)
-    at, line, own, content, owner, words = at[leads], line[leads], own[leads], content[leads], owner[leads], words[leads]
-    roomy = (begins[tail] - begins[body])[line] >= min_words
-    h = block.hashes(own, content - own)
-    lines = 1 + (words >= min_words).astype(np.int64)
-    total = np.concatenate(([0], np.cumsum(words)))
+        rank = _mix((block.eight(seen) & _MASK[end - seen]) * _K2)
+    starts = hard.copy()
+    starts[1:] |= _least(rank, ~hard)[:-1]
+    word = np.flatnonzero(starts)
+    a, b = begin[word], end[np.append(word[1:], len(begin)) - 1] if len(word) else end
+    h = block.hashes(a, b - a)
+    text = np.searchsorted(block.starts, a, side="right") - 1
+    joined = np.append(False, text[1:] == text[:-1])[: len(text)]
     with np.errstate(over="ignore"):
-        half = (_mix(h * _K2) >> np.uint64(63)) == 0
-    wide = np.flatnonzero((words > 0) & (words < min_words) & (half | (roomy & (at == start[line]))))
-    to = np.searchsorted(total, total[wide] + min_words) - 1
-    fits = to < len(at)
-    wide, to = wide[fits], to[fits]
-    fits = np.where(roomy[wide], line[to] == line[wide], owner[to] == owner[wide])
-    wide, to = wide[fits], to[fits]
-    content[wide], lines[wide], words[wide] = content[to], to - wide + 1, total[to + 1] - total[wide]
-    h[wide] = block.hashes(own[wide], content[wide] - own[wide])
-    return Chunks(block, owner, np.arange(len(at)) - np.searchsorted(owner, owner), at, stop, content, lines, words, h, ends)
-
-
-def _batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[pa.RecordBatch, Chunks]]:
+        rolling = h.copy()
+        rolling[1:] += np.where(joined[1:], h[:-1] * _K1, np.uint64(0))
+        rolling = _mix(rolling)
+    starts = ~joined
+    starts[1:] |= _least(rolling, joined)[:-1]
+    line = np.flatnonzero(starts)
+    owner, last = text[line], np.append(line[1:], len(word)) - 1
+    start, stop = a[line], b[last] if len(line) else b
+    after = block.ends[owner] if len(line) else stop
+    same = np.flatnonzero(owner[1:] == owner[:-1])
+    after[same] = start[same + 1]
+    return Chunks(block, begin, end, word, line, owner, np.arange(len(line)) - np.searchsorted(owner, owner), start, stop, after, np.diff(np.append(line, len(word))), block.hashes(start, stop - start))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunks]]:
     for batch in batches:
         texts = binary_list(batch.column("text"))
         for a, b in blocks(texts, BLOCK_BYTES):
-            yield batch.slice(a, b - a), chunk(texts[a:b], min_words)
+            yield batch.slice(a, b - a), chunk(texts[a:b])
 
 
-def _hashes(docs: DataFrame, min_words: int) -> DataFrame:
+def _hashes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c in _batches(batches, min_words):
-            found, n = np.unique(c.hash.view(np.int64), return_counts=True)
+        for _, c in _batches(batches):
+            found, n = np.unique(c.hash[c.lines > 1].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return common.mapped(docs.select("text"), run, "h long, n long")
@@ -148,39 +142,50 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64("text"))
 
 
-def _candidates(docs: DataFrame, repeated: DataFrame, min_words: int, most_bits: int) -> DataFrame:
-    """(__id, __th, number, long, chunk) of all chunks with a repeated hash, and of those few that a filter lets through by chance."""
+def _candidates(docs: DataFrame, repeated: DataFrame, most_bits: int) -> DataFrame:
+    """(__id, __th, number, seed, chunk, gap): chunks of several lines with a repeated hash, those few that a filter lets through
+    by chance, and the chunks beside both, which are no seeds and may be cut short; gap is what stands before the next chunk."""
     keyed = _keyed(docs).select("__id", "__th", "text")
     wanted = BITS_A_HASH * repeated.count()
     bits = 1 << max(16, (max(1, wanted) - 1).bit_length())
     shared = docs.sparkSession.sparkContext.broadcast(_filter(repeated, bits)) if wanted <= most_bits else None
 
-    def texts(batch: pa.RecordBatch, c: Chunks, picked: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, hashes, long, raw = batch.column("__id"), batch.column("__th"), (c.lines >= 2) & (c.words >= min_words), c.block.raw
+    def texts(batch: pa.RecordBatch, c: Chunks, seeds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, hashes, raw, n = batch.column("__id"), batch.column("__th"), c.block.raw, len(c.owner)
+        seed, wanted = np.zeros(n, bool), np.zeros(n, bool)
+        seed[seeds] = wanted[seeds] = True
+        for k in range(1, BESIDE + 1):
+            near = c.owner[k:] == c.owner[:-k]
+            wanted[k:] |= seed[:-k] & near
+            wanted[:-k] |= seed[k:] & near
+        picked = np.flatnonzero(wanted)
         for a in range(0, len(picked), 8192):
             at = picked[a : a + 8192]
             owner = pa.array(c.owner[at])
-            text = [raw[x:y] for x, y in zip(c.start[at].tolist(), c.content[at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([ids.take(owner), hashes.take(owner), pa.array(c.number[at].astype(np.int32)), pa.array(long[at]), pa.array([t[1:] if t[:1] == b" " else t for t in text], pa.binary())], ["__id", "__th", "number", "long", "chunk"])
+            text = [raw[x:y] for x, y in zip(c.start[at].tolist(), c.stop[at].tolist(), strict=True)]
+            gap = [raw[x:y] for x, y in zip(c.stop[at].tolist(), np.minimum(c.after[at], c.stop[at] + BESIDE_BYTES).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([ids.take(owner), hashes.take(owner), pa.array(c.number[at].astype(np.int32)), pa.array(seed[at]), pa.array(text, pa.binary()), pa.array(gap, pa.binary())], ["__id", "__th", "number", "seed", "chunk", "gap"])
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint64)
-        for batch, c in _batches(batches, min_words):
-            places = np.stack([np.mod(_spark_hash(c.hash, k), bits) for k in range(FILTER_HASHES)])
-            yield from texts(batch, c, np.flatnonzero(np.all((table[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1), axis=0)))
+        for batch, c in _batches(batches):
+            several = np.flatnonzero(c.lines > 1)
+            places = np.stack([np.mod(_spark_hash(c.hash[several], k), bits) for k in range(FILTER_HASHES)])
+            yield from texts(batch, c, several[np.all((table[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1), axis=0)])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, c in _batches(batches, min_words):
-            owner = pa.array(c.owner)
-            yield pa.RecordBatch.from_arrays([batch.column("__id").take(owner), batch.column("__th").take(owner), pa.array(c.number.astype(np.int32)), pa.array(c.hash.view(np.int64))], ["__id", "__th", "number", "h"])
+        for batch, c in _batches(batches):
+            at = np.flatnonzero(c.lines > 1)
+            owner = pa.array(c.owner[at])
+            yield pa.RecordBatch.from_arrays([batch.column("__id").take(owner), batch.column("__th").take(owner), pa.array(c.number[at].astype(np.int32)), pa.array(c.hash[at].view(np.int64))], ["__id", "__th", "number", "h"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, c in _batches(batches, min_words):
+        for batch, c in _batches(batches):
             first = np.searchsorted(c.owner, np.arange(batch.num_rows))
             numbers = batch.column("numbers").to_pylist()
-            yield from texts(batch, c, np.concatenate([a + np.sort(np.array(n or [], np.int64)) for a, n in zip(first, numbers, strict=True)] or [first]))
+            yield from texts(batch, c, np.concatenate([a + np.array(n, np.int64) for a, n in zip(first, numbers, strict=True)]) if numbers else first)
 
-    out = "__id long, __th long, number int, long boolean, chunk binary"
+    out = "__id long, __th long, number int, seed boolean, chunk binary, gap binary"
     if shared:
         return common.mapped(keyed, filtered, out)
     places = common.stored(common.mapped(keyed, numbered, "__id long, __th long, number int, h long"), "line-places")
@@ -188,20 +193,38 @@ def _candidates(docs: DataFrame, repeated: DataFrame, min_words: int, most_bits:
     return common.mapped(keyed.join(numbers, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t"))).select("__id", "__th", "text", "numbers"), joined, out)
 
 
-def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_BITS) -> DataFrame:
-    """(__id, __th, remove): numbers of the chunks of each document that stand elsewhere and earlier; long ones are positive.
-
-    Short ones are given as -1 - number: they go only next to removed ones.
+def repeated_chunks(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """(__id, __th, remove): chunks of each document that stand elsewhere and earlier, as structs of their number and, at the
+    ends of a run that follows its first place chunk by chunk, the bytes to the left and right of that first place.
     """
-    counted = _hashes(docs, min_words).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    counted = common.stored(counted, "repeated-lines")
-    found = common.stored(_candidates(docs, counted, min_words, bits), "line-candidates")
-    common.forget(docs.sparkSession, counted)
-    place = F.struct(F.coalesce("__id", F.lit(-(2**63))).alias("a"), F.col("__th").alias("b"), F.col("number").alias("c"))
-    # stored, so that both sides of the join below are plain exchanges, which Spark splits at a frequent chunk
-    first = common.stored(found.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "line-first")
-    again = found.join(first, "chunk").filter(place != F.col("first"))
-    return again.groupBy("__id", "__th").agg(F.collect_set(F.when(F.col("long"), F.col("number")).otherwise(-1 - F.col("number"))).alias("remove"))
+    spark = docs.sparkSession
+    counted = common.stored(_hashes(docs).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "repeated-lines")
+    found = common.stored(_candidates(docs, counted, bits), "line-candidates")
+    common.forget(spark, counted)
+    seeds = found.filter("seed").withColumn("__id", F.coalesce("__id", F.lit(-(2**63))))
+    place = F.struct(F.col("__id").alias("a"), F.col("__th").alias("b"), F.col("number").alias("c"))
+    # stored, so that both sides of the joins below are plain exchanges, which Spark splits at a frequent chunk
+    first = common.stored(seeds.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "line-first")
+    again = seeds.join(first, "chunk").filter(place != F.col("first")).select("__id", "__th", "number", "first.*").distinct()
+    run = Window.partitionBy("__id", "__th").orderBy("number")
+    follows = lambda by, k: F.coalesce((by("number", 1) == F.col("number") + k) & (by("a", 1) == F.col("a")) & (by("b", 1) == F.col("b")) & (by("c", 1) == F.col("c") + k), F.lit(False))
+    ends = again.select("*", (~follows(lambda c, n: F.lag(c, n).over(run), -1)).alias("l"), (~follows(lambda c, n: F.lead(c, n).over(run), 1)).alias("r"))
+    ends = common.stored(ends, "line-again")
+    # what stands beside the first places that the ends of runs ask for
+    asked = ends.filter("l or r").select("a", "b", "c").distinct().select("a", "b", "c", F.explode(F.sequence(F.lit(-BESIDE), F.lit(BESIDE))).alias("k"))
+    parts = found.select(F.coalesce("__id", F.lit(-(2**63))).alias("a"), F.col("__th").alias("b"), "number", "chunk", "gap")
+    near = asked.withColumn("number", F.col("c") + F.col("k")).join(parts, ["a", "b", "number"])
+    part = lambda k, column: F.max(F.when(F.col("k") == k, column))
+    none = F.lit(b"")
+    left = F.concat(*[x for k in range(-BESIDE, 0) for x in (F.coalesce(part(k, F.col("chunk")), none), F.coalesce(part(k, F.col("gap")), none))])
+    right = F.concat(F.coalesce(part(0, F.col("gap")), none), *[x for k in range(1, BESIDE + 1) for x in (F.coalesce(part(k, F.col("chunk")), none), F.coalesce(part(k, F.col("gap")), none))])
+    beside = near.groupBy("a", "b", "c").agg(left.alias("left"), right.alias("right"))
+    beside = beside.select("a", "b", "c", F.expr(f"right(left, {BESIDE_BYTES})").alias("left"), F.expr(f"left(right, {BESIDE_BYTES})").alias("right"))
+    beside = common.stored(beside, "line-beside")
+    common.forget(spark, found)
+    asking = ends.filter("l or r").join(beside, ["a", "b", "c"], "left").select("__id", "__th", "number", F.when(F.col("l"), F.col("left")).alias("left"), F.when(F.col("r"), F.col("right")).alias("right"))
+    rest = ends.filter("not (l or r)").select("__id", "__th", "number", F.lit(None).cast("binary").alias("left"), F.lit(None).cast("binary").alias("right"))
+    return asking.unionByName(rest).groupBy("__id", "__th").agg(F.array_sort(F.collect_list(F.struct("number", "left", "right"))).alias("remove"))
 
 
 def _spark_hash(h: np.ndarray, k: int) -> np.ndarray:
@@ -222,51 +245,96 @@ def _spark_hash(h: np.ndarray, k: int) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _alike(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def _left(c: Chunks, k: int, there: bytes) -> int:
+    """First word of chunk k or of what reads alike before it and before its first place; a word counts if it is whole at both."""
+    start, least = int(c.start[k]), int(c.block.starts[c.owner[k]])
+    n = _alike(c.block.raw[max(least, start - len(there)) : start][::-1], there[::-1])
+    a = int(np.searchsorted(c.begin, start - n))
+    goes_on = there[len(there) - n - 1] > 32 if n < len(there) else len(there) == BESIDE_BYTES
+    return a + bool(n and goes_on and c.begin[a] == start - n)
+
+
+def _right(c: Chunks, k: int, there: bytes) -> int:
+    """Word after chunk k and what reads alike after it."""
+    stop, most = int(c.stop[k]), int(c.block.ends[c.owner[k]])
+    n = _alike(c.block.raw[stop : min(most, stop + len(there))], there)
+    b = int(np.searchsorted(c.end, stop + n, side="right"))
+    goes_on = there[n] > 32 if n < len(there) else len(there) == BESIDE_BYTES
+    return b - bool(n and goes_on and c.end[b - 1] == stop + n)
+
+
+def _cut(c: Chunks, i: int, a: np.ndarray, b: np.ndarray) -> bytes:
+    """Text i without the words of runs a to b. The space behind a run goes with it; that before it does if only the one behind holds a line feed."""
+    raw, out, at, end = c.block.raw, [], int(c.block.starts[i]), int(c.block.ends[i])
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        before = int(c.end[x - 1]) if x and c.end[x - 1] > at else at
+        start, stop = int(c.begin[x]), int(c.end[y - 1])
+        after = min(int(c.begin[y]), end) if y < len(c.begin) else end
+        if before > at and b"\n" in raw[stop:after] and b"\n" not in raw[before:start]:
+            start, after = before, stop
+        out.append(raw[at:start])
+        at = after
+    return b"".join([*out, raw[at:end]])
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = FILTER_BITS) -> DataFrame:
     """docs with text replaced by what is left, and columns n_lines, n_chunks, removed_chunks, removed_lines added.
 
     docs needs doc_id and text; other columns stay, except that columns of those four names are replaced. A null text
-    stays null and counts as one empty line. Rows that share doc_id and text are one document: all keep or lose the
-    same chunks. Chunks that repeat inside one document count too. A line is removed if its last chunk is. Texts of any length are taken whole; an empty table
-    gives no rows.
+    stays null; it and texts without words have no lines. Rows that share doc_id and text are one document: all keep or lose the
+    same chunks. Chunks that repeat inside one document count too. Lines and chunks count as removed if all their words
+    are. Texts of any length are taken whole; an empty table gives no rows.
     """
     extra = ADDED
     base = docs.drop(*extra)
-    gone = repeated_chunks(docs, min_words, bits)
+    gone = repeated_chunks(docs, bits)
     names, marks = base.columns, common.unused(base.columns, "remove")
-    left, right = base.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th")), gone
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
-    joined = left.join(right, same, "left").select("row.*", F.col("remove").alias(marks))
+    left, right = base.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("th")), gone
+    joined = left.join(right, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left").select("row.*", F.col("remove").alias(marks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, c in _batches(batches, min_words):
-            removed = np.zeros(len(c.owner), bool)
-            first = np.searchsorted(c.owner, np.arange(batch.num_rows + 1))
+        for batch, c in _batches(batches):
             texts = batch.column("text").to_pylist()
-            for i, numbers in enumerate(batch.column(marks).to_pylist()):
-                if numbers:
-                    _mark(removed[first[i] : first[i + 1]], numbers)
-                    if removed[first[i] : first[i + 1]].any():
-                        kept, n = runs(~removed[first[i] : first[i + 1]])
-                        kept += first[i]
-                        texts[i] = b"".join(c.block.raw[a:b] for a, b in zip(c.start[kept].tolist(), c.stop[kept + n - 1].tolist(), strict=True)).decode()
-            sums = lambda x: pa.array(np.add.reduceat(x.astype(np.int64), first[:-1])) if batch.num_rows else pa.array([], pa.int64())  # noqa: E731, B023
+            first = np.searchsorted(c.owner, np.arange(batch.num_rows + 1))
+            ends = np.append(c.word, len(c.begin))  # of lines, in words; the last entry ends the last
+            bounds = ends[np.append(c.line, len(c.word))[first]]
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(marks)), 0).to_numpy()
+            asked = batch.column(marks).flatten()
+            k = np.repeat(first[:-1], sizes) + asked.field("number").to_numpy()
+            ls, rs = asked.field("left"), asked.field("right")
+            heads, tails = (np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False)) for x in (ls, rs))
+            a = np.array([_left(c, k[x], y) for x, y in zip(heads.tolist(), ls.take(pa.array(heads)).to_pylist(), strict=True)], np.int64)
+            b = np.array([_right(c, k[x], y) for x, y in zip(tails.tolist(), rs.take(pa.array(tails)).to_pylist(), strict=True)], np.int64)
+            long = b - a >= min_words
+            depth = np.zeros(len(c.begin) + 1, np.int64)
+            np.add.at(depth, a[long], 1)
+            np.add.at(depth, b[long], -1)
+            gone = np.cumsum(depth)[:-1] > 0
+            for i in np.flatnonzero(sizes).tolist():
+                x, n = runs(gone[bounds[i] : bounds[i + 1]])
+                if len(x):
+                    texts[i] = _cut(c, i, x + bounds[i], x + n + bounds[i]).decode()
+            before = np.concatenate(([0], np.cumsum(~gone)))
+            line = before[ends[1:]] == before[ends[:-1]]
+            whole = np.append(c.line, len(c.word))
+            chunks = before[ends[whole[1:]]] == before[ends[whole[:-1]]]
+            of = np.repeat(c.owner, c.lines)
+            count = lambda owner, flags=None: pa.array(np.bincount(owner, flags, minlength=batch.num_rows).astype(np.int64))  # noqa: E731, B023
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, sums(c.ends), pa.array(np.diff(first)), sums(removed), sums(c.ends * removed)], [*names, *extra])
+            yield pa.RecordBatch.from_arrays([*columns, count(of), count(c.owner), count(c.owner, chunks), count(of, line)], [*names, *extra])
 
     return common.mapped(joined, run, StructType([*base.schema.fields, *[StructField(n, LongType()) for n in extra]]))
 
 
-def _mark(removed: np.ndarray, numbers: list[int]) -> None:
-    """Mark long chunks, then runs of short repeated ones next to marked ones, in both directions."""
-    n = np.array(numbers, np.int64)
-    removed[n[n >= 0]] = True
-    goes = removed.copy()
-    goes[-1 - n[n < 0]] = True
-    run = np.cumsum(~goes)
-    removed |= goes & (np.bincount(run, removed) > 0)[run]
-
-
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.encode("text", "UTF-8")
