@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -41,6 +42,8 @@ FILTER_HASHES = 3
 BLOCK_BYTES = 1 << 20
 #: Chunks beside a seed that an extension may reach into, and bytes of each of them.
 BESIDE, BESIDE_BYTES = 2, 512
+#: Bytes of a span beyond which it is hashed by itself.
+LONG = 256
 #: Columns that dedup_lines adds.
 ADDED = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
 
@@ -78,6 +81,15 @@ def _least(rank: np.ndarray, joined: np.ndarray) -> np.ndarray:
     return out
 
 
+def _span_hashes(block: Block, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of spans; those beyond LONG bytes are hashed one by one, as all others would wait for the longest."""
+    long = np.flatnonzero(length > LONG)
+    h = block.hashes(start, np.minimum(length, LONG))
+    for k in long.tolist():
+        h[k] = xxhash.xxh64_intdigest(block.cut(int(start[k]), int(length[k])))
+    return h
+
+
 def chunk(texts: list[bytes]) -> Chunks:
     block = Block(texts, b"\n")
     data = block.data[: block.size]
@@ -86,7 +98,9 @@ def chunk(texts: list[bytes]) -> Chunks:
     feeds, tail = np.flatnonzero(data == 10), data[end - 1]
     closed = (tail == 46) | (tail == 33) | (tail == 63)
     hard = np.ones(len(begin), bool)
-    hard[1:] = closed[:-1] | (np.searchsorted(feeds, begin[1:]) != np.searchsorted(feeds, end[:-1]))
+    hard[1:] = closed[:-1] | (data[end[:-1]] == 10)
+    wide = np.flatnonzero(begin[1:] - end[:-1] > 1)
+    hard[wide + 1] |= np.searchsorted(feeds, begin[wide + 1]) != np.searchsorted(feeds, end[wide])
     seen = np.maximum(begin, end - 8)
     with np.errstate(over="ignore"):
         rank = _mix((block.eight(seen) & _MASK[end - seen]) * _K2)
@@ -94,7 +108,7 @@ def chunk(texts: list[bytes]) -> Chunks:
     starts[1:] |= _least(rank, ~hard)[:-1]
     word = np.flatnonzero(starts)
     a, b = begin[word], end[np.append(word[1:], len(begin)) - 1] if len(word) else end
-    h = block.hashes(a, b - a)
+    h = _span_hashes(block, a, b - a)
     text = np.searchsorted(block.starts, a, side="right") - 1
     joined = np.append(False, text[1:] == text[:-1])[: len(text)]
     with np.errstate(over="ignore"):
@@ -109,7 +123,7 @@ def chunk(texts: list[bytes]) -> Chunks:
     after = block.ends[owner] if len(line) else stop
     same = np.flatnonzero(owner[1:] == owner[:-1])
     after[same] = start[same + 1]
-    return Chunks(block, begin, end, word, line, owner, np.arange(len(line)) - np.searchsorted(owner, owner), start, stop, after, np.diff(np.append(line, len(word))), block.hashes(start, stop - start))
+    return Chunks(block, begin, end, word, line, owner, np.arange(len(line)) - np.searchsorted(owner, owner), start, stop, after, np.diff(np.append(line, len(word))), _span_hashes(block, start, stop - start))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Chunks]]:
