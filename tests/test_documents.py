@@ -121,3 +121,9 @@ def test_decisions_and_digests(spark):
 def test_contract_hash_is_that_of_the_document():
     doc = {"bar": "5m", "evaluation_mode": "long-only-bracket-fixed-horizon-non-overlapping", "feature_names": list(FEATURES), "label_horizon": 12, "stop_loss_fraction": 0.015, "take_profit_fraction": 0.025, "warmup_bars": 48}
     assert rechecks.contract_hash(FEATURES) == seal_of(doc) and rechecks.contract_hash(FEATURES[1:]) != seal_of(doc)
+
+
+def test_an_artifact_is_parsed_once(spark):
+    df = spark.createDataFrame([("{}", "", "")], "artifact string, sha string, manifest string")
+    plan = df.select(rechecks.artifact_faults("artifact", "sha", "manifest").alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == 1

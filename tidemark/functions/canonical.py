@@ -25,7 +25,7 @@ def text(value: Column) -> Column:
     return F.concat(F.lit('"'), F.when(value.rlike(r"[\x00-\x1f]"), escaped).otherwise(plain), F.lit('"'))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -47,16 +47,25 @@ def number(value: Column) -> Column:
     """A double; what is not finite stops the query, as it has no JSON."""
     tries = lambda first: F.array(*[F.lit(k) for k in range(first, 18)])
 
+    def exact(size: Column, digits: Column) -> Column:
+        return let(_scientific(size, digits), lambda t: F.when(t.try_cast("double") == size, t))
+
     def written(size: Column) -> Column:
-        # the JVM's own text may have a digit too many; below the normal range a double has fewer than 15
-        digits = F.when(size < 2.2250738585072014e-308, tries(1)).otherwise(tries(15))
-        shown = F.transform(digits, lambda k: _scientific(size, k))
-        return _let(F.element_at(F.filter(shown, lambda t: t.try_cast("double") == size), 1), shaped)
+        # the JVM's own text may have a digit too many; below the normal range a double has fewer than 15, mostly 15 are enough
+        more = F.when(size < 2.2250738585072014e-308, tries(1)).otherwise(tries(16))
+        found = F.element_at(F.filter(F.transform(more, lambda k: _scientific(size, k)), lambda t: t.try_cast("double") == size), 1)
+        return let(F.coalesce(F.when(size >= 2.2250738585072014e-308, exact(size, F.lit(15))), found), shaped)
+
+    def short(size: Column, own: Column) -> Column:
+        # up to 15 digits that read back are the shortest ones, whoever wrote them; from 1e-3 to 1e7 the JVM lays them out as wanted here
+        plain, power = (size >= 1e-3) & (size < 1e7), F.replace(own, F.lit("E"), F.lit("e"))
+        few = (size >= 2.2250738585072014e-308) & (F.length(F.split_part(own, F.lit("E"), F.lit(1))) <= 16)
+        return F.when(plain & (F.length(own) <= 16), own).when(~plain & few, let(power, shaped)).otherwise(written(size))
 
     def shaped(shown: Column) -> Column:
         mantissa, power = F.split_part(shown, F.lit("e"), F.lit(1)), F.split_part(shown, F.lit("e"), F.lit(2)).try_cast("int")
         digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
-        return _let(F.struct(digits.alias("d"), power.alias("p")), lambda x: laid_out(x["d"], x["p"]))
+        return let(F.struct(digits.alias("d"), power.alias("p")), lambda x: laid_out(x["d"], x["p"]))
 
     def laid_out(digits: Column, power: Column) -> Column:
         n, point = F.length(digits), power + 1
@@ -70,7 +79,7 @@ def number(value: Column) -> Column:
     size = F.abs(value)
     sign = F.when((value < 0) | (value.cast("string") == "-0.0"), "-").otherwise("")
     lost = F.isnan(value) | (size == float("inf"))
-    return F.when(lost, F.raise_error(F.lit("a number that is not finite has no JSON")).cast("string")).otherwise(F.concat(sign, F.when(size == 0, "0.0").otherwise(_let(size, written))))
+    return F.when(lost, F.raise_error(F.lit("a number that is not finite has no JSON")).cast("string")).otherwise(F.concat(sign, F.when(size == 0, "0.0").otherwise(let(size, lambda x: let(x.cast("string"), lambda own: short(x, own))))))
 
 
 def value(column: Column, kind: DataType) -> Column:
@@ -102,4 +111,4 @@ def content_hash(column: Column, kind: DataType) -> Column:
     return F.sha2(value(column, kind), 256)
 
 
-__all__ = ["content_hash", "document", "number", "text", "value"]
+__all__ = ["content_hash", "document", "let", "number", "text", "value"]

@@ -40,13 +40,16 @@ def artifact_faults(artifact: str, expected_hash: str, stored_manifest: str) ->
     not_canonical says that the typed document, written again, gives other bytes: blanks, another order, other fields or kinds. The
     feature hash of the manifest must be that of the model's names, the manifest beside it the one inside.
     """
-    read = F.from_json(artifact, ARTIFACT)
-    again = canonical.value(read, ARTIFACT)
-    inside = canonical.value(read["manifest"], MANIFEST)
-    return V.reasons(
-        (F.sha2(F.col(artifact), 256) == F.col(expected_hash), "hash_mismatch"), (again == F.col(artifact), "not_canonical"),
-        (schema_hash(read["model"]["feature_names"]) == read["manifest"]["feature_schema_sha256"], "schema_mismatch"), (inside == F.col(stored_manifest), "manifest_mismatch"),
-    )
+    def judged(read: Column, inside: Column) -> Column:
+        whole = canonical.document({"manifest": inside, "model": canonical.value(read["model"], MODEL), "schema_version": canonical.value(read["schema_version"], StringType())})
+        again = F.when(read.isNull(), "null").otherwise(whole)
+        return V.reasons(
+            (F.sha2(F.col(artifact), 256) == F.col(expected_hash), "hash_mismatch"), (again == F.col(artifact), "not_canonical"),
+            (schema_hash(read["model"]["feature_names"]) == read["manifest"]["feature_schema_sha256"], "schema_mismatch"), (inside == F.col(stored_manifest), "manifest_mismatch"),
+        )
+
+    # a document is parsed once, and its manifest written once, however many fields are looked at
+    return canonical.let(F.from_json(artifact, ARTIFACT), lambda read: canonical.let(canonical.value(read["manifest"], MANIFEST), lambda inside: judged(read, inside)))
 
 
 def decision_id(decision: Column, kind: StructType) -> Column:
