@@ -46,3 +46,18 @@ def test_equity_over_ranges(spark):
                 assert (r.equity, r.peak, r.drawdown) == pytest.approx((equity, peak, (peak - equity) / peak), rel=1e-12, abs=1e-12)
     assert len(got) == len(rows)
     assert research.performance(spark.createDataFrame(rows, "m string, k int, net double"), ["m"], ["k"]).filter("m = 'z'").first().max_drawdown == 1.0
+
+
+def test_candles_of_a_walk_below_zero(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import catalog
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(20 * i) AS ts, 1::BIGINT AS user_id, CASE WHEN i % 5 = 0 THEN 'signup' ELSE 'view' END AS event_type, 300.25 + i AS value, '{}' AS props FROM range(200) r(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = catalog.QUERIES["candles_parsed"](spark, str(tmp_path))
+    cursor = con.execute(catalog.ORACLES["candles_parsed"])
+    want = {tuple(zip(sorted(d[0] for d in cursor.description), [v for _, v in sorted(zip([d[0] for d in cursor.description], r))])) for r in cursor.fetchall()}
+    got = {tuple((c, r[c]) for c in sorted(df.columns)) for r in df.collect()}
+    assert got == want and min(r.close for r in df.collect()) < 0

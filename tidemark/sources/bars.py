@@ -92,12 +92,12 @@ def confirmed(raw: DataFrame) -> DataFrame:
     return well_formed(raw).filter(F.element_at("fields", CANDLE_FIELDS) == "1")
 
 
-def parsed(raw: DataFrame, bar_ms: int = BAR_MS) -> DataFrame:
-    """Raw rows as bars; a field that is no finite number (or no positive price) becomes null."""
+def parsed(raw: DataFrame, bar_ms: int = BAR_MS, above: float | None = 0) -> DataFrame:
+    """Raw rows as bars; a field that is no finite number (or no price larger than above, if given) becomes null."""
     field = lambda k: F.get("fields", F.lit(k))
     ms = F.when(field(0).rlike(r"^\d+$"), field(0).try_cast("bigint"))
     opened = F.when(ms > 0, V.from_ms(ms))
-    prices = [V.finite_number(field(k), 0).alias(c) for k, c in enumerate(("open", "high", "low", "close"), 1)]
+    prices = [V.finite_number(field(k), above).alias(c) for k, c in enumerate(("open", "high", "low", "close"), 1)]
     return raw.select(opened.alias("opened_at"), F.timestamp_add("MILLISECOND", F.lit(bar_ms), opened).alias("closed_at"), *prices, V.finite_number(field(5)).alias("volume"), (F.size("fields") == CANDLE_FIELDS).alias("wide"), F.coalesce(field(8) == "1", F.lit(False)).alias("complete"))
 
 
