@@ -127,3 +127,9 @@ def test_an_artifact_is_parsed_once(spark):
     df = spark.createDataFrame([("{}", "", "")], "artifact string, sha string, manifest string")
     plan = df.select(rechecks.artifact_faults("artifact", "sha", "manifest").alias("f"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("from_json") == 1
+
+
+def test_a_document_is_parsed_once(spark):
+    shape = {"a": {"b": "integer"}, "c": "string", "d": "list<number>"}
+    plan = spark.createDataFrame([("{}",)], "text string").select(shapes.faults(F.col("text"), shape).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_parse_json") == 1

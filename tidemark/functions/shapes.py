@@ -10,6 +10,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.canonical import let
+
 #: string, number (no boolean), integer (64 bits, written without point or exponent), boolean, object, list, list of
 #: one of these as 'list<number>', or the shape of an object.
 Shape = Mapping[str, "str | Shape"]
@@ -21,9 +23,8 @@ _END = '"\\u0000end"'
 def parsed(text: Column) -> Column:
     """The document as VARIANT, null where it is none."""
     both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f",{_END}]")))
-    parts = F.try_variant_get(both, "$", "array<variant>")
-    ended = F.try_variant_get(F.get(parts, F.lit(1)), "$", "string") == "\0end"
-    return F.when(F.coalesce(ended & (F.size(parts) == 2), F.lit(False)), F.get(parts, F.lit(0)))
+    ended = lambda parts: F.try_variant_get(F.get(parts, F.lit(1)), "$", "string") == "\0end"
+    return let(F.try_variant_get(both, "$", "array<variant>"), lambda parts: F.when(F.coalesce(ended(parts) & (F.size(parts) == 2), F.lit(False)), F.get(parts, F.lit(0))))
 
 
 def kind_of(part: Column) -> Column:
@@ -49,21 +50,25 @@ def faults(text: Column, shape: Shape) -> Column:
 
     Codes come by path in the order of keys; the inside of a part that is missing or no object is not looked at.
     """
-    whole = parsed(text)
-    wrong = F.when(whole.isNull(), F.array(F.lit("not_json"))).when(~is_kind(whole, "object"), F.array(F.lit("not_object")))
-    return F.coalesce(wrong, _inside(whole, shape, ""))
+    def judged(whole: Column) -> Column:
+        wrong = F.when(whole.isNull(), F.array(F.lit("not_json"))).when(~is_kind(whole, "object"), F.array(F.lit("not_object")))
+        return F.coalesce(wrong, _inside(whole, shape, ""))
+
+    return let(parsed(text), judged)
 
 
 def _inside(whole: Column, shape: Shape, at: str) -> Column:
-    keys = F.json_object_keys(whole.cast("string"))
     known = F.array(*[F.lit(k) for k in shape]) if shape else F.array().cast("array<string>")
-    extra = F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.lit(f"unexpected:{at}"), k))
-    found = [extra]
-    for key in sorted(shape):
-        kind, part, code = shape[key], part_of(whole, key), f"{at}{key}"
-        ok = is_kind(part, kind if isinstance(kind, str) else "object")
-        missing = F.array(F.lit(f"missing:{code}"))
-        wrong = F.array(F.lit(f"kind:{code}"))
-        none = F.array().cast("array<string>") if isinstance(kind, str) else _inside(part, kind, f"{code}.")
-        found.append(F.when(~F.array_contains(keys, key), missing).when(~ok, wrong).otherwise(none))
-    return F.concat(*found)
+
+    def judged(keys: Column) -> Column:
+        extra = F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.lit(f"unexpected:{at}"), k))
+        one = lambda key: let(part_of(whole, key), lambda part: _wrong(keys, part, key, shape[key], f"{at}{key}"))
+        return F.concat(extra, *[one(key) for key in sorted(shape)])
+
+    return let(F.json_object_keys(whole.cast("string")), judged)
+
+
+def _wrong(keys: Column, part: Column, key: str, kind: str | Shape, code: str) -> Column:
+    ok = is_kind(part, kind if isinstance(kind, str) else "object")
+    none = F.array().cast("array<string>") if isinstance(kind, str) else _inside(part, kind, f"{code}.")
+    return F.when(~F.array_contains(keys, key), F.array(F.lit(f"missing:{code}"))).when(~ok, F.array(F.lit(f"kind:{code}"))).otherwise(none)

@@ -113,7 +113,8 @@ def document_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
         good, swap('"k": ', '"k": true, "j": '), swap('"k": ', '"k": -'), swap("true", "1"), swap('"ok"', '"no"'), swap("2.5", "false"), F.concat(good, F.lit(" x")), swap('"name":"', '"name":null,"z":"'),
         F.concat(F.lit("["), good, F.lit("]")), swap("[1,2.5]", "3"), swap('},"ok"', ',"ok"'), swap('{"props"', '{"ok":true,"props"'),
     ]
-    raw = _log(spark, sf_dir).select("event_id", F.element_at(F.array(*texts), (_e() % len(texts) + 1).cast("int")).alias("text"))
+    dealt = _log(spark, sf_dir).select("event_id", "event_type", "props").repartition("event_id")
+    raw = dealt.select("event_id", F.element_at(F.array(*texts), (_e() % len(texts) + 1).cast("int")).alias("text"))
     shape = {"props": {"k": "integer"}, "ok": "boolean", "name": "string", "w": "list<number>"}
     return raw.select("event_id", F.array_join(shapes.faults(F.col("text"), shape), ",").alias("faults"))
 
