@@ -200,3 +200,24 @@ def test_audit_appends_go_on_from_the_last_hash(spark):
 
 def test_shared_folder_is_asked_for_on_clusters(spark):
     assert shared_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir")) and streams.shared_path is shared_path
+
+
+def test_chains_stay_whole_over_a_join_that_turns_into_a_broadcast(spark):
+    import hashlib
+
+    texts = [(n % 50, n, *[f"{c}{n}" for c in range(5)]) for n in range(3000)]
+    schema = f"user long, n long, {', '.join(f'{c} string' for c in integrity.FIELDS)}"
+    events = spark.createDataFrame(texts, schema).repartition(8)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        heads = spark.createDataFrame([(u, f"h{u}") for u in range(25)], "user long, head string").repartition(8)
+        got = {r.n: r.event_hash for r in integrity.chained(events, "user", "n", heads).collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    last = {u: f"h{u}" if u < 25 else integrity.GENESIS for u in range(50)}
+    for user, n, *own in texts:
+        last[user] = hashlib.sha256("|".join([last[user], *own]).encode()).hexdigest()
+        assert got[n] == last[user]

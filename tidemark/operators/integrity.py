@@ -9,13 +9,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from tidemark.functions import canonical
 from tidemark.functions.documents import row_seal
+from tidemark.operators.machines import carried
 
 GENESIS = "0" * 64
 FIELDS = ["utc_time", "actor", "event_type", "correlation_id", "payload_json"]
@@ -35,32 +35,32 @@ def chained(events: DataFrame, chain: str, order: str, heads: DataFrame | None =
     kept = [chain, order, *FIELDS]
     known = events.select(*kept, F.lit(GENESIS).alias("head")) if heads is None else events.select(*kept).join(heads, chain, "left").select(*kept, F.coalesce("head", F.lit(GENESIS)).alias("head"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values(order, kind="stable")
-        before, previous, own = rows["head"].iloc[0], [], []
-        for texts in zip(*[rows[c].fillna("") for c in FIELDS]):
-            previous.append(before)
-            before = hashlib.sha256("|".join([before, *texts]).encode()).hexdigest()
-            own.append(before)
-        return rows.drop(columns="head").assign(previous_hash=previous, event_hash=own)
+    def step(last: str | None, values: tuple) -> tuple[str, tuple]:
+        *texts, head = values
+        before = head if last is None else last
+        own = hashlib.sha256("|".join([before, *["" if t is None else t for t in texts]]).encode()).hexdigest()
+        return own, (before, own)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(*kept).schema) + ", previous_hash string, event_hash string"
-    return known.groupBy(chain).applyInPandas(run, schema)
+    added = StructType().add("previous_hash", "string").add("event_hash", "string")
+    return carried(known, [chain], [order], [*FIELDS, "head"], lambda: None, step, added).drop("head")
 
 
-def chain_breaks(rows: DataFrame, chain: str, order: str) -> DataFrame:
-    """Rows where a chain does not hold, with what is wrong."""
+def _judged(rows: DataFrame, chain: str, order: str) -> DataFrame:
+    """rows with broken: what is wrong with each, null if nothing is."""
     before = F.coalesce(F.lag("event_hash").over(Window.partitionBy(chain).orderBy(order)), F.lit(GENESIS))
     found = rows.withColumn("__before", before)
     wrong = F.when(~F.col("previous_hash").eqNullSafe(F.col("__before")), "previous_hash").when(~F.col("event_hash").eqNullSafe(entry_hash(F.col("previous_hash"))), "event_hash")
-    return found.withColumn("broken", wrong).filter("broken IS NOT NULL").drop("__before")
+    return found.withColumn("broken", wrong).drop("__before")
+
+
+def chain_breaks(rows: DataFrame, chain: str, order: str) -> DataFrame:
+    """Rows where a chain does not hold, with what is wrong."""
+    return _judged(rows, chain, order).filter("broken IS NOT NULL")
 
 
 def verified(rows: DataFrame, chain: str, order: str) -> DataFrame:
-    """One row a chain: events, valid, last hash."""
-    breaks = chain_breaks(rows, chain, order).groupBy(chain).agg(F.count("*").alias("breaks"))
-    summary = rows.groupBy(chain).agg(F.count("*").alias("events"), F.max_by("event_hash", order).alias("last_hash"))
-    return summary.join(breaks, chain, "left").select(chain, "events", F.col("breaks").isNull().alias("valid"), "last_hash")
+    """One row a chain: events, valid, last hash. The rows are read once."""
+    return _judged(rows, chain, order).groupBy(chain).agg(F.count("*").alias("events"), (F.count("broken") == 0).alias("valid"), F.max_by("event_hash", order).alias("last_hash"))
 
 
 def _content(rows: DataFrame, name: str) -> Column:

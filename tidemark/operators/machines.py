@@ -45,7 +45,8 @@ def carried(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: S
     One shuffle by key and a sort; a task streams through its keys and holds one state and one batch, however many rows a
     key has.
     """
-    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order)
+    # by the keys' hash, not the keys: Spark drops a repartition by what a join below deals by, and may then read that join's rows as they lie
+    dealt = rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order)
     names, keyed = rows.columns, list(by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
