@@ -53,6 +53,27 @@ def test_directory_covers_every_key(spark):
     assert len(held) == n > 40 and max(held.values()) <= 1000
 
 
+def test_directory_passes_each_cell_on_once(spark):
+    """No join below the cells: stored tables grow with cells alone, however often the directory doubles."""
+    docs = spark.createDataFrame([(k, f"text number {k}") for k in range(2000)], "doc_id long, text string")
+    entries = e.entries_of(docs, ["doc_id"], "text", 64, e.BUFFER).filter("body is not null").select("entry", "h", "body").cache()
+    tables, kept = [], e.common.stored
+
+    def stored(df, name):
+        out = kept(df, name)
+        tables.append((name, out.count(), df._jdf.queryExecution().optimizedPlan().toString().count("Join")))
+        return out
+
+    e.common.stored = stored
+    try:
+        depths = [(capacity, e.directory(entries, capacity)[1]) for capacity in (100_000, 1000, 100)]
+    finally:
+        e.common.stored = kept
+    assert [d for _, d in depths] == sorted(d for _, d in depths) and depths[-1][1] > 8
+    assert [name for name, *_ in tables] == ["cells", "splits", "buckets"] * 3
+    assert all(joins == (name == "buckets") for name, _, joins in tables)
+
+
 def test_deduplicated_keeps_columns(spark):
     docs = cases.docs(spark).withColumn("kept", cases.F.lit("old"))
     rows = e.deduplicated(docs)

@@ -73,28 +73,26 @@ def entries_of(docs: DataFrame, keep: list[str], text: str, bits: int, buffer: i
 def directory(entries: DataFrame, capacity: int, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
     """(slot, bucket) for every slot of the directory, its depth in bits and the number of buckets.
 
-    Bytes are summed once for each cell of depth bits, at most a million; doubling and splitting work on these sums.
+    Bytes are summed once for each cell of depth bits, at most a million; doubling and splitting work on these sums. Each
+    cell counts in its prefix of every length, one row each. Cells lie in tasks by ranges, so that a task adds up most prefixes itself.
+    A prefix is a bucket if it is not full and all shorter ones are; as sums only grow with shorter prefixes, the next shorter one tells.
     """
     cell = F.shiftrightunsigned("h", 64 - depth)
     cells = common.stored(entries.groupBy(cell.alias("cell")).agg(F.sum(F.length("body")).alias("size"), F.min("h").alias("low"), F.max("h").alias("high")), "cells")
-    live, made, now = cells, None, 0
-    while True:
-        sums = live.groupBy(F.shiftright("cell", depth - now).alias("prefix")).agg(F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
-        sums = common.stored(sums.withColumn("full", (F.col("size") > capacity) & (F.col("low") != F.col("high")) & F.lit(now < depth)), "splits")
-        settled = sums.filter("NOT full").select("prefix", F.lit(now).alias("bits"))
-        made = settled if made is None else made.unionByName(settled)
-        full = sums.filter("full").select("prefix")
-        if not full.limit(1).count():
-            break
-        live = live.join(full, F.shiftright("cell", depth - now) == F.col("prefix"), "left_semi")
-        now += 1
-    # halves that no entry fell into have no bucket; nothing looks them up
-    first = F.expr(f"shiftleft(prefix, {now} - bits)")
-    buckets = common.stored(made.select(first.alias("first"), "bits"), "buckets")
+    lengths = cells.repartitionByRange("cell").withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    sums = lengths.groupBy("bits", F.expr(f"shiftright(cell, {depth} - bits)").alias("prefix")).agg(F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
+    full = (F.col("size") > capacity) & (F.col("low") != F.col("high")) & (F.col("bits") < depth)
+    sums = common.stored(sums.select("bits", "prefix", full.alias("full")), "splits")
+    # a full prefix opens both of its halves; a half that no entry fell into has no bucket, nothing looks it up
+    halves = sums.filter("full").select((F.col("bits") + 1).alias("bits"), F.explode(F.expr("array(2 * prefix, 2 * prefix + 1)")).alias("prefix"))
+    opened = halves.unionByName(cells.sparkSession.range(1).select(F.lit(0).alias("bits"), F.lit(0).cast("long").alias("prefix")))
+    made = common.stored(sums.filter("NOT full").join(opened, ["bits", "prefix"], "left_semi").select("prefix", "bits"), "buckets")
+    now, n_buckets = made.agg(F.coalesce(F.max("bits"), F.lit(0)), F.count("*")).first()
+    buckets = made.select(F.expr(f"shiftleft(prefix, {now} - bits)").alias("first"), "bits")
     # at most a million rows of two numbers in all; the number of a bucket is its place by key
     dealt = buckets.repartitionByRange("first").sortWithinPartitions("first").withColumn("at", F.monotonically_increasing_id())
     slots = dealt.select(F.explode(F.expr(f"sequence(first, first + shiftleft(1L, {now} - bits) - 1)")).alias("slot"), F.col("first").alias("bucket"))
-    return slots, now, buckets.count()
+    return slots, now, n_buckets
 
 
 def chained(entries: DataFrame, slots: DataFrame, bits: int, owners: int) -> DataFrame:
