@@ -37,6 +37,24 @@ def test_rows_behind_the_watermark_change_no_mode(spark):
     assert found == [("a", 0, 1, "armed", 0), ("a", 10, None, "observe", 0), ("a", 200, 2, "observe", 0), ("c", 201, 3, "observe", 0)]
 
 
+def test_keys_of_a_bucket_keep_their_own_latches(spark):
+    """Calls and state are a bucket's, not a key's; null keys and numbers that a double doesn't hold are among them."""
+    big = (1 << 53) + 1
+    keys = [None, *range(big, big + 300)]
+    rows = [(k, at(m), n, e, p) for k in keys for m, n, e, p in ((0, big, "arm", 0), (30, None, "other", 1), (20, 2, "kill" if k and k % 2 else "arm", 1))]
+    rows.append((None, at(100_000), None, timers.MARK, 2))
+    log = spark.createDataFrame(rows, "k long, at timestamp_ntz, event_id long, event string, part int").coalesce(1)
+    stream = streams.read_files(spark, streams.feed(log, "part", 3, "modes"), 1)
+    found = streams.collected(timers.safety_modes(stream, "k", 600, "30 minutes", buckets=4), "modes", store=streams.ROCKS).collect()
+    start = int(START.timestamp() * 1e6)
+    by = {}
+    for r in found:
+        by.setdefault(r.k, []).append(((r.at - start) // 60_000_000, r.event_id, r.mode, r.generation))
+    begun = [(0, big, "armed", 0), (10, None, "observe", 0)]
+    one, two = [*begun, (20, 2, "killed", 1), (30, None, "killed", 1)], [*begun, (20, 2, "armed", 0), (30, None, "observe", 0), (30, None, "observe", 0)]
+    assert set(by) == set(keys) and all(sorted(v, key=lambda r: r[0]) == (one if k and k % 2 else two) for k, v in by.items())
+
+
 SCHEMA = "n long, at timestamp_ntz"
 
 
