@@ -133,6 +133,39 @@ def test_permits(spark, seed):
     assert got.columns == [*df.columns, "outcome", "used_orders", "used_total"]
 
 
+PERMITS = "seq int, permit_id string, at int, kind string, body string, issued_at int, expires_at int, max_orders int, max_total string, signal string, notional string"
+
+
+def permit_log(rng, n, own):
+    """Events of permits of which those named own claim signals of their own alone."""
+    log = []
+    for seq in range(n):
+        permit = rng.choice(["hot", "hot", "p1", "p2", *own])
+        kind = rng.choice([*["claim"] * 14, "register", "revoke", "other"])
+        terms = rng.choice([(30, "40"), (3, "9.5"), (4, "100"), (0, "5")])
+        signal = f"{permit if permit in own else 's'}-{rng.randrange(12)}"
+        log.append((seq, permit, rng.randrange(0, 10), kind, rng.choice(["b"] * 12 + ["x", None]), 0, rng.choice([10, 9]), *terms, rng.choice([signal] * 9 + [None]), rng.choice(["1", "2", "0.5", "8", None])))
+    return log
+
+
+@pytest.mark.parametrize("long", [permits.LONG, 60])
+def test_permits_of_their_own_beside_others(spark, long):
+    log = permit_log(random.Random(long), 400, [f"q{k}" for k in range(6)])
+    got = permits.outcomes(spark.createDataFrame(log, PERMITS).repartition(4), long)
+    assert sorted((r.seq, r.outcome, r.used_orders, r.used_total) for r in got.collect()) == brute_permits(log)
+
+
+def test_permits_of_their_own_need_no_rounds(spark, monkeypatch):
+    log = [r for r in permit_log(random.Random(5), 300, [f"q{k}" for k in range(20)]) if r[1][0] == "q"]
+    monkeypatch.setattr(permits, "_settled", None)
+    got = permits.outcomes(spark.createDataFrame(log, PERMITS).repartition(4))
+    assert sorted((r.seq, r.outcome, r.used_orders, r.used_total) for r in got.collect()) == brute_permits(log)
+    big = "123456789012345678901234567890"  # a sum of 38 digits is exact
+    rows = [(k, "q", 1, "claim", "b", 0, 9, 9, big, f"s{k}", n) for k, n in enumerate(["100000000000000000000000000000", "0.00000001", big])]
+    found = permits.outcomes(spark.createDataFrame(rows, PERMITS)).orderBy("seq").collect()
+    assert [r.outcome for r in found] == ["claimed", "claimed", "total_exhausted"] and str(found[2].used_total) == "100000000000000000000000000000.00000001"
+
+
 def order_rows(spark, rows):
     return spark.createDataFrame(rows, "k long, body string, t int")
 
