@@ -277,6 +277,20 @@ def test_faults_of_exits(spark):
     assert position(spark, entry, fills(("-0.1", "USDT"), ("0", ""), ("-0.1", "BTC"))).reason == "fee_unit_changed"
 
 
+def test_exits_are_plain_columns(spark):
+    """The fold is no aggregate by a lambda, which Spark would interpret; as many steps as attempts give what a fold gives."""
+    entry = ("p", "1", "1", "100", "0", "")
+    fills = [("p", k, "0.1", "101", "0", "") for k in range(8)]
+    for attempts, left in ((1, "0.9"), (3, "0.7"), (5, "0.5")):
+        r = position(spark, entry, fills, attempts)
+        assert (r.status, r.reason, r.tries, r.remaining) == ("manual_review", "exit_attempts_exhausted", attempts, Decimal(left))
+    r = position(spark, entry, fills[:2])
+    assert (r.status, r.reason, r.tries, r.exited) == ("long", None, 2, Decimal("0.2"))
+    opened = positions.entries(spark.createDataFrame([entry], "position_id string, requested string, filled string, average string, fee string, fee_unit string"))
+    table = spark.createDataFrame(fills, "position_id string, number int, filled string, average string, fee string, fee_unit string")
+    assert "aggregate(" not in positions.exits(opened, table)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name,path,end", [
     ("INTENT", "allowed claimed ended", "terminal_verified"), ("INTENT", "allowed claimed unclear ended", "terminal_verified"), ("INTENT", "allowed claimed unclear restart ended", "terminal_verified"),
     ("INTENT", "allowed claimed accepted ended", "terminal_verified"), ("INTENT", "allowed claimed unclear found ended", "terminal_verified"), ("INTENT", "allowed ended", "previewed"),

@@ -49,46 +49,60 @@ def exits(opened: DataFrame, fills: DataFrame, attempts: int = ATTEMPTS) -> Data
 
     Returns position_id, status ('closed', 'long', 'manual_review' or 'invalid'), reason, remaining, exited, proceeds,
     exit_average, tries and realised_return. A position without exit fills stays long. Fills after the end change
-    nothing. A fold of one position's attempts, of which there are at most `attempts` before a person takes over.
+    nothing. A position ends with its attempt number `attempts` at the latest, so that many steps of plain columns are the whole fold; a
+    fold by a lambda would be interpreted value by value.
     """
     unit = _unit("fee_unit")
     each = fills.select("position_id", F.struct("number", V.price("filled").alias("filled"), F.coalesce(V.price("average"), V.literal_price("0")).alias("average"), F.col("average").isNull().alias("unpriced"), F.coalesce(V.price("fee"), V.literal_price("0")).alias("fee"), unit.alias("unit")).alias("x"))
     gathered = each.groupBy("position_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     joined = opened.filter("status = 'long'").select("position_id", "owned", "cost").join(gathered, "position_id", "left")
-    none = F.lit(None).cast("string")
-    start = F.struct(F.lit("long").alias("status"), none.alias("reason"), F.lit("").alias("unit"), V.literal_price("0").alias("fees"), (F.col("cost") > 0).alias("priced"), V.price("owned").alias("remaining"), V.literal_price("0").alias("exited"), F.lit(0).cast(QUOTE).alias("proceeds"), F.lit(0).alias("tries"))
-
-    def step(s: Column, x: Column) -> Column:
-        live = s["status"] == "long"
-        debit = V.price(x["filled"] - F.when(x["unit"] == BASE_UNIT, x["fee"]).otherwise(V.literal_price("0")))
-        quote = (x["filled"] * x["average"] + F.when(x["unit"] == QUOTE_UNIT, x["fee"]).otherwise(V.literal_price("0"))).cast(QUOTE)
-        wrong = (
-            F.when(~x["unit"].isin("", BASE_UNIT, QUOTE_UNIT), "fee_unit_unknown")
-            .when((x["filled"] > 0) & (x["unpriced"] | (x["average"] <= 0)), "average_missing")
-            .when((debit < 0) | (debit > s["remaining"]), "exit_above_remaining")
-            .when((x["fee"] != 0) & (s["fees"] != 0) & (x["unit"] != "") & (s["unit"] != "") & (x["unit"] != s["unit"]), "fee_unit_changed")
-            .when(quote < 0, "fee_invalid")
-        )
-        wrong = F.coalesce(wrong, F.when((debit == s["remaining"]) & ~s["priced"], "entry_cost_invalid"))
-        good = live & wrong.isNull()
-        # the last unit that a fill names, whatever its fee; units are held against each other while the fees so far are not 0
-        unit = F.when(good & (x["unit"] != ""), x["unit"]).otherwise(s["unit"])
-        fees = F.when(good, V.price(s["fees"] + x["fee"])).otherwise(s["fees"])
-        remaining = F.when(good, V.price(s["remaining"] - debit)).otherwise(s["remaining"])
-        tries = s["tries"] + live.cast("int")
-        spent = tries >= attempts
-        status = F.when(~live, s["status"]).when(wrong.isNotNull(), "invalid").when(remaining == 0, "closed").when(spent, "manual_review").otherwise("long")
-        reason = F.when(~live, s["reason"]).when(wrong.isNotNull(), wrong).when((remaining != 0) & spent, "exit_attempts_exhausted")
-        exited = F.when(good, V.price(s["exited"] + x["filled"])).otherwise(s["exited"])
-        proceeds = F.when(good, (s["proceeds"] + quote).cast(QUOTE)).otherwise(s["proceeds"])
-        return F.struct(status.alias("status"), reason.alias("reason"), unit.alias("unit"), fees.alias("fees"), s["priced"].alias("priced"), remaining.alias("remaining"), exited.alias("exited"), proceeds.alias("proceeds"), tries.cast("int").alias("tries"))
-
-    done = joined.select("position_id", "cost", F.aggregate(F.coalesce("xs", F.array().cast(gathered.schema["xs"].dataType)), start, step).alias("s")).select("position_id", "cost", "s.*").drop("unit", "fees", "priced")
+    zero = V.literal_price("0")
+    held = {"status": F.lit("long"), "reason": F.lit(None).cast("string"), "unit": F.lit(""), "fees": zero, "remaining": V.price("owned"), "exited": zero, "proceeds": F.lit(0).cast(QUOTE), "tries": F.lit(0)}
+    done = joined.select("position_id", "cost", "xs", *[c.alias(n) for n, c in held.items()])
+    for number in range(attempts):
+        done = _attempted(done, F.get("xs", F.lit(number)), number + 1 >= attempts).select("position_id", "cost", "xs", *held)
+    done = done.drop("xs", "unit", "fees")
     average = F.when(F.col("exited") > 0, F.col("proceeds").cast("double") / F.col("exited").cast("double"))
     gain = F.when(F.col("status") == "closed", F.col("proceeds").cast("double") / F.col("cost").cast("double") - 1)
     return done.withColumn("exit_average", average).withColumn("realised_return", gain)
 
 
+def _attempted(rows: DataFrame, x: Column, final: bool) -> DataFrame:
+    """rows after their exit fill x, null if there is none; with final, what is still long goes to a person.
+
+    Every value is a column of its own, so that it is computed once, and only where the position is long.
+    """
+    live = rows.withColumn("__x", x).withColumn("__live", (F.col("status") == "long") & F.col("__x").isNotNull())
+    base, quoted = F.when(F.col("__x.unit") == BASE_UNIT, F.col("__x.fee")), F.when(F.col("__x.unit") == QUOTE_UNIT, F.col("__x.fee"))
+    debit = F.col("__x.filled") - F.coalesce(base, V.literal_price("0"))
+    quote = (F.col("__x.filled") * F.col("__x.average") + F.coalesce(quoted, V.literal_price("0"))).cast(QUOTE)
+    sized = live.withColumns({"__debit": F.when(F.col("__live"), debit), "__quote": F.when(F.col("__live"), quote)})
+    unit, named = F.col("__x.unit"), F.col("__x.unit") != ""
+    wrong = (
+        F.when(~unit.isin("", BASE_UNIT, QUOTE_UNIT), "fee_unit_unknown")
+        .when((F.col("__x.filled") > 0) & (F.col("__x.unpriced") | (F.col("__x.average") <= 0)), "average_missing")
+        .when((F.col("__debit") < 0) | (F.col("__debit") > F.col("remaining")), "exit_above_remaining")
+        .when((F.col("__x.fee") != 0) & (F.col("fees") != 0) & named & (F.col("unit") != "") & (unit != F.col("unit")), "fee_unit_changed")
+        .when(F.col("__quote") < 0, "fee_invalid")
+        .when((F.col("__debit") == F.col("remaining")) & ~(F.col("cost") > 0), "entry_cost_invalid")
+    )
+    judged = sized.withColumn("__wrong", F.when(F.col("__live"), wrong)).withColumn("__good", F.col("__live") & F.col("__wrong").isNull())
+    good, left = F.col("__good"), F.col("remaining") - F.col("__debit")
+    ends = F.when(F.col("__wrong").isNotNull(), "invalid").when(F.col("__debit") == F.col("remaining"), "closed").otherwise("manual_review" if final else "long")
+    spent = F.when(good & (F.col("__debit") != F.col("remaining")), "exit_attempts_exhausted") if final else F.lit(None).cast("string")
+    return judged.withColumns({
+        "status": F.when(F.col("__live"), ends).otherwise(F.col("status")),
+        "reason": F.when(F.col("__live"), F.coalesce("__wrong", spent)).otherwise(F.col("reason")),
+        # the last unit that a fill names, whatever its fee; units are held against each other while the fees so far are not 0
+        "unit": F.when(good & named, unit).otherwise(F.col("unit")),
+        "fees": F.when(good, V.price(F.col("fees") + F.col("__x.fee"))).otherwise(F.col("fees")),
+        "remaining": F.when(good, V.price(left)).otherwise(F.col("remaining")),
+        "exited": F.when(good, V.price(F.col("exited") + F.col("__x.filled"))).otherwise(F.col("exited")),
+        "proceeds": F.when(good, (F.col("proceeds") + F.col("__quote")).cast(QUOTE)).otherwise(F.col("proceeds")),
+        "tries": F.col("tries") + F.col("__live").cast("int"),
+    })
+
+
 def fill_accounting(fills: DataFrame, by: str) -> DataFrame:
     """Totals of fills (filled, average, fee in quote units) for each key: size, proceeds and their weighted price."""
     quote = (V.price("filled") * V.price("average")).cast(QUOTE) + V.price("fee").cast(QUOTE)

@@ -84,7 +84,7 @@ def audit_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exits_with_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exits of a quarter of what is owned, with fees of either sign in either unit or none."""
     entered, old = _fills(spark, sf_dir)
-    lines = old.select("position_id", "number", "average").join(entered.select("position_id", "owned"), "position_id")
+    lines = old.select("position_id", "number", "average", "owned")
     place = F.col("position_id") + F.col("number")
     fee = F.when(place % 3 == 0, "0").when(F.col("number") % 2 == 0, "0.25").otherwise("-0.25").cast(V.PRICE)
     done = positions.exits(entered, lines.select("position_id", "number", V.price(F.col("owned") / 4).alias("filled"), "average", fee.alias("fee"), _pick(place * 2 + F.col("position_id"), "usdt", "", " BTC", "USDT").alias("fee_unit")))
